@@ -85,9 +85,8 @@ def label_table(spark, sf):
     return X.label_table(b.closed, b.case_txns, opened_before=1_705_276_800_000_000).select("TransactionID", "closed_us")
 
 
-def flagged(bank):
-    """Alerts with the features of their flagged row."""
-    f = features_of(bank)
+def flagged(bank, f):
+    """Alerts with the columns of their flagged row in ``f``."""
     return bank.alerts.select("case_id", "flagged_txn_id", "flag_us", "opened_us", "trigger_type", "trigger_text").join(
         f.drop("opened_us"), F.col("flagged_txn_id") == F.col("TransactionID"))
 
@@ -105,4 +104,5 @@ def flagged(bank):
   GROUP BY a.case_id, f.uid""", *KEYED))
 def recency_flags(spark, sf):
     b = Bank(spark, sf)
-    return X.recency_flags(flagged(b), features_of(b), DEFAULT).withColumn("typical_amt", F.round("typical_amt", 6))
+    keyed = X.with_cardholder_keys(b.ledger)
+    return X.recency_flags(flagged(b, keyed), keyed, DEFAULT).withColumn("typical_amt", F.round("typical_amt", 6))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scans", "asof", "features"]
+MODULES = ["scans", "asof", "features", "detect", "decisions"]
 
 _QUERIES: dict = {}
 _SQL: dict = {}

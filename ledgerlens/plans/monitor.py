@@ -28,7 +28,7 @@ def structuring_alerts(rows: DataFrame, params: Params = DEFAULT) -> DataFrame:
     seed = hits.join(band.select("card_id", "end_us", "TransactionID"), ["card_id", "end_us"]).groupBy(
         "card_id", "start_us", "end_us", "n", "total").agg(F.max("TransactionID").alias("seed_txn"))
     return seed.select(F.lit("structuring").alias("type"), F.col("card_id").alias("element"), F.col("n").alias("n_txns"),
-                       F.lit(1).cast("bigint").alias("n_cards"), "total", F.col("start_us").alias("first_us"),
+                       F.lit(1).cast("bigint").alias("n_cards"), F.lit(1).cast("bigint").alias("n_customers"), "total", F.col("start_us").alias("first_us"),
                        F.col("end_us").alias("last_us"), "seed_txn")
 
 
@@ -39,7 +39,7 @@ def testing_alerts(rows: DataFrame, params: Params = DEFAULT) -> DataFrame:
     scored = hits.join(scores, "purchase").filter(F.col("score") >= params.monitor_min_score)
     top = scored.orderBy(F.desc("score"), "card_id").limit(params.monitor_top)
     return top.select(F.lit("card_testing").alias("type"), F.col("card_id").alias("element"),
-                      (F.col("n_tests") + F.col("n_after")).alias("n_txns"), F.lit(1).cast("bigint").alias("n_cards"),
+                      (F.col("n_tests") + F.col("n_after")).alias("n_txns"), F.lit(1).cast("bigint").alias("n_cards"), F.lit(1).cast("bigint").alias("n_customers"),
                       F.round("score", 3).alias("score"), F.col("start_us").alias("first_us"), "last_us",
                       F.col("purchase").alias("seed_txn"))
 
