@@ -179,7 +179,7 @@ def with_(sql, *ctes):
 @query("document_tokens", with_("SELECT id AS doc_id, sum(tf)::BIGINT AS n_tokens, count(*) AS n_distinct, max(tf) AS max_tf FROM dc GROUP BY 1", *DOCS))
 def document_tokens(spark, sf):
     c = X.token_counts(table(spark, sf, "documents"))
-    return c.groupBy("doc_id").agg(F.sum("tf").alias("n_tokens"), F.count(F.lit(1)).alias("n_distinct"), F.max("tf").alias("max_tf"))
+    return c.groupBy("doc_id").agg(F.sum("tf").alias("n_tokens"), F.count(F.lit(1)).alias("n_distinct"), F.max("max_tf").alias("max_tf"))
 
 
 @query("document_idf", with_("SELECT token, df, round(idf, 6) AS idf FROM idf", *DOCS))
