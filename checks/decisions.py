@@ -202,7 +202,7 @@ def bounded_reassessment(spark, sf):
 def chain_states(spark, sf):
     s = states(spark, sf)
     return s.select(
-        "TransactionID", "case_id", "p_txn", "risk_score", "trigger", "pattern", (F.col("k") % 4).alias("n_members"),
+        "TransactionID", "case_id", "p_txn", "risk_score", "trigger", "pattern", "k", "flagged_amount", (F.col("k") % 4).alias("n_members"),
         F.least(F.lit(1.0), F.col("p_txn") * 1.5).alias("p_max"), (F.col("k") % 5 == 0).cast("int").alias("known_uid"),
         (F.col("k") % 7 == 0).alias("f_structuring"), (F.col("k") % 11 == 0).alias("f_device_ring"),
         (F.col("pattern") == "card_testing").alias("f_card_testing"), F.col("recurring_match").alias("f_recurring"),

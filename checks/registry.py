@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scans", "asof", "features", "detect", "decisions", "memory", "graph"]
+MODULES = ["scans", "asof", "features", "detect", "decisions", "memory", "graph", "evaluation", "investigation"]
 
 _QUERIES: dict = {}
 _SQL: dict = {}

@@ -1,16 +1,24 @@
 """From findings to a verdict: probability chain, signals, verdicts, reply, affected set and status."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import bayes, calibrated, flag
+from ..functions.columns import bayes, calibrated, flag, logit, sigmoid
 from ..params import DEFAULT, Params
 from .policy import takes
 
 
-def _update(p: Column, hit: Column, ratio: float, params: Params) -> Column:
-    return F.when(hit, bayes(p, F.lit(ratio), params)).otherwise(p)
+def _log_odds(p: float) -> float:
+    return math.log(p / (1 - p))
+
+
+def _shift(z: Column, hit: Column, ratio: float, params: Params) -> Column:
+    """One likelihood-ratio update in log-odds: add, then clip. ``z`` occurs once, so chains stay small."""
+    moved = z + F.when(hit, F.lit(math.log(ratio))).otherwise(F.lit(0.0))
+    return F.greatest(F.least(moved, F.lit(_log_odds(params.p_ceil))), F.lit(_log_odds(params.p_floor)))
 
 
 def probability_chain(cases: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -22,11 +30,13 @@ def probability_chain(cases: DataFrame, params: Params = DEFAULT) -> DataFrame:
     c = cases.withColumn("p_model", calibrated(F.col("p_txn"), F.col("p_max"), F.col("n_members"), F.col("known_uid"), params))
     steps = [("f_structuring", "structuring"), ("f_device_ring", "device_ring"), ("f_card_testing", "card_testing"),
              ("f_recurring", "recurring"), ("f_earlier", "earlier_case")]
-    c = c.withColumn("p_evidence", F.col("p_model"))
+    z = logit(F.col("p_model"))
     for column, name in steps:
-        c = c.withColumn("p_evidence", _update(F.col("p_evidence"), F.col(column), params.lr[name], params))
+        z = _shift(z, F.col(column), params.lr[name], params)
+    c = c.withColumn("z_evidence", z)
     report = F.col("trigger") == "customer_report"
-    return c.withColumn("p", _update(F.col("p_evidence"), report, params.lr["customer_report"], params))
+    return c.withColumns({"p_evidence": sigmoid(F.col("z_evidence")),
+                          "p": sigmoid(_shift(F.col("z_evidence"), report, params.lr["customer_report"], params))}).drop("z_evidence")
 
 
 def signals(cases: DataFrame) -> DataFrame:
