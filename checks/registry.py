@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scans", "asof", "features", "detect", "decisions", "memory", "graph", "evaluation", "investigation"]
+MODULES = ["scans", "asof", "features", "detect", "decisions", "memory", "graph", "evaluation", "investigation", "streams"]
 
 _QUERIES: dict = {}
 _SQL: dict = {}

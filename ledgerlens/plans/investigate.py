@@ -55,7 +55,8 @@ def findings(x: Inputs, f: DataFrame) -> dict[str, DataFrame]:
     p = x.params
     cols = ["TransactionID", "us", "TransactionAmt", "ProductCD", "channel", "card_id", "uid", "addr1", "device_profile_id",
             "id_15", "id_23", "p_txn", "P_emaildomain", "M4", "M6"]
-    win = asof.card_window(asof.lookback(f, p), x.scored.select("customer_id", *cols)).drop("start_us", "end_us").persist()
+    win = asof.card_window(asof.lookback(f, p), x.scored.select("customer_id", *cols)).drop("start_us", "end_us")
+    win = checkpointed(win)
     amount, online = F.col("TransactionAmt"), F.col("channel") == "online"
     band = online & (amount >= p.band * p.cap) & (amount < p.cap)
     sizes = win.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_win"), F.sum(flag(band)).alias("n_band"),
@@ -89,12 +90,13 @@ def findings(x: Inputs, f: DataFrame) -> dict[str, DataFrame]:
     precedents = checkpointed(rings.ring_precedents(ring, x.closed, x.members, x.scored, p))
     base = episodes.reconstruct(f.select("case_id", "customer_id", "flagged_txn_id", "flag_us", "opened_us"), x.scored,
                                 (p.member_threshold,), p).select("case_id", "TransactionID")
+    base, st_rows, ct_rows = checkpointed(base), checkpointed(st_rows), checkpointed(ct_rows)
     flagged_ids = f.select("case_id", F.col("flagged_txn_id").alias("TransactionID"))
     in_burst = st_rows.join(flagged_ids, ["case_id", "TransactionID"]).select("case_id")
     ep = base.join(in_burst, "case_id", "left_anti").unionByName(st_rows.join(in_burst, "case_id", "left_semi"))
     ep = ep.unionByName(ring_rows).unionByName(ct_rows.select("case_id", "TransactionID")).distinct()
     keep = ct_rows.filter(F.col("role").isin("test", "purchase")).select("case_id", "TransactionID").unionByName(flagged_ids).distinct()
-    ep = ep.join(win, ["case_id", "TransactionID"])
+    ep = checkpointed(ep.join(win, ["case_id", "TransactionID"]))
     tested = ep.join(ct.select("case_id"), "case_id", "left_semi")
     strong = tested.filter(F.col("p_txn") >= p.member_threshold)
     weak = tested.filter(F.col("p_txn") < p.member_threshold).join(keep, ["case_id", "TransactionID"], "left_semi")
