@@ -141,7 +141,7 @@ def pagerank(edge: DataFrame, iterations: int = 10, damping: float = 0.85, cut_e
     both = edge.select("src", "dst").distinct()
     both = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     degree = both.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    links = both.join(degree, "src").persist()
+    links = checkpointed(both.join(degree, "src"))
     rank = degree.select(F.col("src").alias("id"), F.lit(1.0).alias("pr"))
     for i in range(iterations):
         sent = links.join(rank, links.src == rank.id).select(F.col("dst").alias("id"), (F.col("pr") / F.col("deg")).alias("x"))

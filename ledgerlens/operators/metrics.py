@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import flag
 from ..params import DEFAULT, Params
+from ..session import checkpointed
 from .episodes import reconstruct, set_agreement, summarise
 from .skew import running_totals
 
@@ -81,7 +82,7 @@ def balanced(cases: DataFrame) -> DataFrame:
 
 def balanced_scores(cases: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Balanced accuracy at one half and balanced Brier score. ``p, y``."""
-    b = balanced(cases.persist())
+    b = balanced(checkpointed(cases))
     right = flag((F.col("p") >= 0.5) == (F.col("y") == 1))
     err = (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))
     return b.agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("w") * right) / F.sum("w")).alias("accuracy_balanced"),
@@ -141,7 +142,7 @@ def backtest(cases: DataFrame) -> DataFrame:
     true_sar, asked``. The ranking figure is joined from ``ranking``.
     """
     c = F.col
-    cases = cases.persist()      # one short row per case, read by several aggregates
+    cases = checkpointed(cases)      # one short row per case, read by several aggregates
     b = balanced(cases)
     y1, y0 = c("y") == 1, c("y") == 0
     right = ((c("verdict") == "fraud") & y1) | ((c("verdict") == "legitimate") & y0)
