@@ -214,7 +214,7 @@ def chain_states(spark, sf):
 
 def _step(name, src, cond, ratio):
     z = f"ln(least(greatest({src}, 1e-6), 1 - 1e-6) / (1 - least(greatest({src}, 1e-6), 1 - 1e-6)))"
-    return f"{name} AS (SELECT *, CASE WHEN {cond} THEN least(greatest(1 / (1 + exp(-({z} + ln({ratio})))), 0.02), 0.98) ELSE {src} END AS {name}_p FROM "
+    return f"{name} AS MATERIALIZED (SELECT *, CASE WHEN {cond} THEN least(greatest(1 / (1 + exp(-({z} + ln({ratio})))), 0.02), 0.98) ELSE {src} END AS {name}_p FROM "
 
 
 LG = "ln(least(greatest({0}, 1e-6), 1 - 1e-6) / (1 - least(greatest({0}, 1e-6), 1 - 1e-6)))"
@@ -237,7 +237,7 @@ CHAIN = f"""
   rp AS (SELECT *, CASE WHEN stop_now THEN NULL WHEN s5_p >= 0.6 THEN 'denied'
     WHEN s5_p < CASE WHEN trigger = 'customer_report' THEN 0.2 ELSE 0.4 END THEN 'confirmed' ELSE 'no_reply' END AS reply FROM st)""", \
     _step("r1", "s6_p", "reply IS NOT NULL", "CASE reply WHEN 'denied' THEN 2.5 WHEN 'confirmed' THEN 0.25 ELSE 1.0 END") + "rp)", """
-  fv AS (SELECT *, CASE WHEN reply = 'denied' THEN 'fraud' WHEN reply = 'confirmed' THEN 'legitimate' WHEN reply = 'no_reply' THEN 'uncertain'
+  fv AS MATERIALIZED (SELECT *, CASE WHEN reply = 'denied' THEN 'fraud' WHEN reply = 'confirmed' THEN 'legitimate' WHEN reply = 'no_reply' THEN 'uncertain'
     WHEN recurring THEN 'uncertain' WHEN r1_p >= 0.85 THEN 'fraud' WHEN r1_p <= 0.15 THEN 'legitimate' ELSE 'uncertain' END AS verdict_ FROM r1)"""
 
 
