@@ -1,11 +1,10 @@
 """Sources, sinks, projections and scalar expressions."""
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import columns as C
+from ledgerlens.session import new_folder
 from ledgerlens.sources import ledger as L
 from ledgerlens.sources import schema as S
 from ledgerlens.sources import testbed as T
@@ -16,10 +15,6 @@ from .registry import query
 BASIC = "TransactionID, us, TransactionAmt, ProductCD, channel, customer_id, card_id, addr1, device_profile_id"
 
 
-def scratch() -> str:
-    return tempfile.mkdtemp(prefix="ledgerlens-io-")
-
-
 @query("ledger_build", led(f"SELECT {BASIC}, TransactionDT, risk_score, addr2, P_emaildomain, R_emaildomain, D1, "
                            "M4, M6, id_15, id_23, has_device_record FROM ledger"))
 def ledger_build(spark, sf):
@@ -32,7 +27,7 @@ def ledger_build(spark, sf):
 def ledger_csv_roundtrip(spark, sf):
     """Write the raw layout as CSV and rebuild the ledger from it with declared schemas."""
     raw = T.raw_ledger(spark, sf).withColumn("ts", C.from_micros(F.col("us")))
-    out = scratch()
+    out = new_folder(spark)
     cols = [f.name for f in S.TRANSACTIONS.fields if f.name in raw.columns]
     raw.select(*cols).write.option("header", True).csv(f"{out}/transactions.csv")
     ids = [f.name for f in S.IDENTITY.fields if f.name in raw.columns]
@@ -45,7 +40,7 @@ def ledger_csv_roundtrip(spark, sf):
 @query("ledger_prepared_csv", led("SELECT TransactionID, TransactionAmt, card_id, device_profile_id, id_15, M4, C1 FROM ledger"))
 def ledger_prepared_csv(spark, sf):
     led_ = T.ledger(spark, sf).withColumn("ts", C.from_micros(F.col("us")))
-    out = scratch()
+    out = new_folder(spark)
     core = ["TransactionID", "TransactionDT", "TransactionAmt", "ProductCD", "customer_id", "ts", "channel",
             "risk_score", "addr1", "addr2", "dist1", "P_emaildomain", "R_emaildomain", "card_id", "device_profile_id"]
     led_.select(*core).write.option("header", True).csv(f"{out}/transactions_core.csv")
@@ -60,7 +55,7 @@ def ledger_prepared_csv(spark, sf):
 @query("ledger_parquet_by_day", led("SELECT CAST(make_timestamp(us) AS DATE)::VARCHAR AS day, count(*) AS n, "
                                     "round(sum(TransactionAmt), 4) AS total FROM ledger GROUP BY 1"))
 def ledger_parquet_by_day(spark, sf):
-    out = scratch()
+    out = new_folder(spark)
     L.write_ledger(T.ledger(spark, sf).withColumn("day", F.to_date(C.from_micros(F.col("us")))), out)
     back = spark.read.parquet(out)
     return back.groupBy(F.col("day").cast("string").alias("day")).agg(
@@ -71,7 +66,7 @@ def ledger_parquet_by_day(spark, sf):
 def ledger_store_build(spark, sf):
     """Source choice and idempotence: the second build returns the stored table untouched."""
     raw = T.raw_ledger(spark, sf).withColumn("ts", C.from_micros(F.col("us")))
-    src, out = scratch(), scratch() + "/store"
+    src, out = new_folder(spark), new_folder(spark) + "/store"
     raw.select(*[f.name for f in S.TRANSACTIONS.fields if f.name in raw.columns]).write.option("header", True).csv(
         f"{src}/transactions.csv")
     raw.select("TransactionID", "id_15", "id_23", *S.DEVICE_PARTS).write.option("header", True).csv(f"{src}/identity.csv")
@@ -86,7 +81,7 @@ def ledger_store_build(spark, sf):
 def closed_cases_csv(spark, sf):
     bank = T.Bank(spark, sf)
     ids = bank.case_txns.groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_list("TransactionID")), "|").alias("txn_ids"))
-    out = scratch() + "/closed.csv"
+    out = new_folder(spark) + "/closed.csv"
     (bank.closed.join(ids, "case_id").withColumns({
         "opened_at": C.from_micros(F.col("opened_us")), "closed_at": C.from_micros(F.col("closed_us")),
         "connected_card_ids": F.array_join("connected_card_ids", "|")})
@@ -102,7 +97,7 @@ def closed_cases_csv(spark, sf):
 @query("alerts_csv", led_alerts("SELECT case_id, customer_id, card_id, flagged_txn_id, opened_us, trigger_type, "
                                 "trigger_text, risk_score FROM alerts"))
 def alerts_csv(spark, sf):
-    out = scratch() + "/alerts.csv"
+    out = new_folder(spark) + "/alerts.csv"
     a = T.Bank(spark, sf).alerts.withColumn("opened_at", C.from_micros(F.col("opened_us")))
     a.select(*[f.name for f in S.ALERTS.fields]).write.option("header", True).option(
         "timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(out)
@@ -120,7 +115,7 @@ def ledger_row_cap(spark, sf):
 def case_memory_upsert(spark, sf):
     """Append every record twice; the later write of each case wins."""
     a = T.Bank(spark, sf).alerts.select("case_id", "card_id", "risk_score", "opened_us")
-    out = scratch()
+    out = new_folder(spark)
     L.append_case_memory(a.select("case_id", "card_id", F.lit("uncertain").alias("verdict"),
                                   F.col("opened_us").alias("written_us")), out)
     L.append_case_memory(a.select("case_id", "card_id", F.when(F.col("risk_score") >= 0.1, "fraud").otherwise("uncertain")

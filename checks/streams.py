@@ -4,12 +4,12 @@ A closing row two months later pushes the watermark past every real window, so a
 """
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import asof as A
 from ledgerlens.params import DAY, TESTBED
-from ledgerlens.sources.testbed import Bank
+from ledgerlens.session import new_folder
+from ledgerlens.sources.testbed import START_US, Bank
 from ledgerlens.streaming import monitor as S
 
 from .prelude import DAY as D
@@ -22,9 +22,10 @@ COLS = ["TransactionID", "us", "TransactionAmt", "ProductCD", "channel", "custom
 
 def arrive(spark, sf):
     """The ledger as files in arrival order, then one far-off row that closes every window."""
-    folder = tempfile.mkdtemp(prefix="ledgerlens-stream-")
+    folder = new_folder(spark)
     led_ = Bank(spark, sf).ledger.select(*COLS)
-    led_.repartitionByRange(4, "us").sortWithinPartitions("us").write.mode("append").parquet(folder + "/in")
+    for first, end in ((0, 8), (8, 16), (16, 24), (24, 400)):       # one arrival after the other, so the order is fixed
+        A.population_window(led_, START_US + first * DAY, START_US + end * DAY).write.mode("append").parquet(folder + "/in")
     last = led_.agg(F.max("us").alias("us")).select(
         F.lit("end").alias("TransactionID"), (F.col("us") + 60 * DAY).alias("us"), F.lit(50.0).alias("TransactionAmt"), F.lit("Z").alias("ProductCD"),
         F.lit("online").alias("channel"), F.lit("END").alias("customer_id"), F.lit("END").alias("card_id"), F.lit("END").alias("device_profile_id"),
