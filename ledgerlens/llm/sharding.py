@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .base import offsets, stored
 
-ROWS_PER_BUCKET = 4096     # rows that one window orders, on average
+ROWS_PER_BUCKET = 1024     # rows that one window orders, on average
 
 
 def interleave(rows: DataFrame, key: str, stratum: str, shards: int, seed: str = "mix",
@@ -55,7 +55,7 @@ def interleave(rows: DataFrame, key: str, stratum: str, shards: int, seed: str =
     placed = ranked.withColumn("_r", F.row_number().over(order) - 1).join(before, "_g")
     at = F.col("before") + F.col("_r")
     # shard k holds positions ceil(k * count / shards) to ceil((k + 1) * count / shards) - 1
-    shard = F.expr(f"(({'before + _r'}) * {shards}) div {max(1, count)}")
+    shard = F.expr(f"((before + _r) * {shards}) div {max(1, count)}")
     first = F.expr(f"(_shard * {count} + {shards - 1}) div {shards}")
     return placed.withColumn("_shard", shard).select(
         *cols, F.col("_shard").cast("int").alias("shard"), (at - first).cast("long").alias("slot"))
