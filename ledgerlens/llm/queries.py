@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, maxscore, sharding, vptree
+from . import base, maxscore, ngram_join, sharding, vptree
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -79,3 +79,27 @@ def op5_vantage_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five near vectors by cosine for every fiftieth vector, against all rows; recall is measured in the tests."""
     rows = base.read(spark, sf_dir, "embeddings")
     return vptree.neighbours(rows, rows.filter(F.col("vec_id") % 50 == 0), 5, VP_FACTOR)
+
+
+@query
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document; links from 75 hundredths of shared five-word shingles."""
+    return ngram_join.near_duplicates(base.read(spark, sf_dir, "documents"))
+
+
+_SHINGLES = """
+words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words
+)"""
+SQL["op1_ngram_jaccard_join"] = f"""
+WITH RECURSIVE {_SHINGLES}, sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reached(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, min(y))::BIGINT AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN reached ON x = d.doc_id GROUP BY d.doc_id, n
+"""
