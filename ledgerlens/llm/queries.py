@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, maxscore, ngram_join, sharding, vptree
+from . import base, maxscore, ngram_join, quality, sharding, vptree
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -103,3 +103,15 @@ reached(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JO
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, min(y))::BIGINT AS component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN reached ON x = d.doc_id GROUP BY d.doc_id, n
 """
+
+
+KEEP = 0.7      # a document is kept from this score on
+
+
+@query
+def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document."""
+    docs = base.read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, base.read(spark, sf_dir, "labels"))
+    out = quality.scored(docs, model)
+    return out.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
