@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, maxscore, ngram_join, quality, sharding, vptree
+from . import base, html_text, maxscore, ngram_join, quality, sharding, vptree
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -115,3 +115,10 @@ def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, base.read(spark, sf_dir, "labels"))
     out = quality.scored(docs, model)
     return out.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
+
+
+@query
+def op10_html_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page, laid out."""
+    pages = base.read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
