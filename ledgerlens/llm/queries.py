@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, html_text, maxscore, ngram_join, quality, sharding, vptree
+from . import base, bpe, html_text, maxscore, ngram_join, quality, sharding, vptree
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -122,3 +122,11 @@ def op10_html_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visible text of every page, laid out."""
     pages = base.read(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_text.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op6_bpe_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded bytes of every document."""
+    import public_tokenizers
+    docs = base.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
