@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe, html_text, maxscore, ngram_join, quality, sharding, vptree
+from . import base, bpe, html_text, maxscore, ngram_join, packing, quality, sharding, vptree
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -127,6 +127,17 @@ def op10_html_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_bpe_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes of every document."""
-    import public_tokenizers
     docs = base.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encoded(docs, *tokenizer_files()[1:])
+
+
+def tokenizer_files() -> tuple[str, str, str]:
+    """The vocabulary as a tokenizer and as ranks, and the pattern of its words."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query
+def op2_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return packing.packed(base.read(spark, sf_dir, "documents"), *tokenizer_files())
