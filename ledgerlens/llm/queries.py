@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe, html_text, maxscore, ngram_join, packing, quality, sharding, vptree
+from . import base, bpe, html_text, katz, maxscore, ngram_join, packing, quality, sharding, vptree
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -141,3 +141,11 @@ def tokenizer_files() -> tuple[str, str, str]:
 def op2_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
     return packing.packed(base.read(spark, sf_dir, "documents"), *tokenizer_files())
+
+
+@query
+def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base score and Katz score of every document; a tenth of the documents is held out."""
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    docs = base.read(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
+    return katz.scores(docs, order=2)
