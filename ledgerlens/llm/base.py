@@ -51,3 +51,10 @@ def offsets(counts: DataFrame, bucket: str, n: str, width: int = 1024) -> DataFr
 
 def utf8_size(text: Column) -> Column:
     return F.octet_length(F.coalesce(text, F.lit("")))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of the steps that are over."""
+    import gc
+    gc.collect()
+    spark._jvm.System.gc()

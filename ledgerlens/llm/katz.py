@@ -13,7 +13,6 @@ and there are at most a few such histories per bucket, so they go through the dr
 """
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import parts, stored
+from .base import parts, release, stored
+from .blobs import freeze, pieces, thaw
 from .hashing import Powers, mix, slices, text_bytes, word_hashes
 
 CHUNK = 12_000_000           # bytes of text in a chunk; one longer text is a chunk of its own
@@ -33,33 +33,6 @@ START = np.uint64(2)         # key of the history before a text
 NONE = np.uint32(0xFFFFFFFF)  # no word: unseen in training, or before the text
 
 
-def freeze(**arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes; bytes of equal significance lie together."""
-    import zstandard
-    pack = zstandard.ZstdCompressor(level=1).compress
-    head, body = [], []
-    for name, a in arrays.items():
-        a = np.ascontiguousarray(a)
-        raw = a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() if a.size else b""
-        body.append(pack(raw))
-        head.append((name, a.dtype.str, len(body[-1]), len(raw)))
-    text = json.dumps(head).encode()
-    return len(text).to_bytes(4, "little") + text + b"".join(body)
-
-
-def thaw(blob: bytes) -> dict[str, np.ndarray]:
-    import zstandard
-    unpack = zstandard.ZstdDecompressor().decompress
-    size = int.from_bytes(blob[:4], "little")
-    at, out = 4 + size, {}
-    for name, kind, length, raw in json.loads(blob[4:at]):
-        kind = np.dtype(kind)
-        planes = np.frombuffer(unpack(blob[at:at + length], max_output_size=raw), np.uint8) if raw else np.empty(0, np.uint8)
-        out[name] = np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel()
-        at += length
-    return out
-
-
 def discounts(counts_of_counts: np.ndarray) -> np.ndarray:
     """Factors for the counts 0 to ``SMALL`` (entry 0 is unused) from the numbers of n-grams seen 1, 2, ... times.
 
@@ -233,14 +206,6 @@ def discounted(n: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(n <= SMALL, d[np.minimum(n, SMALL)], 1.0) * n
 
 
-def pieces(order: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Parts of ``order``, which sorts by bucket, one bucket each."""
-    b = bucket[order]
-    cuts = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.empty(0, np.int64)
-    for a, e in zip(cuts, np.append(cuts[1:], len(b)), strict=True):
-        yield int(b[a]), order[a:e]
-
-
 def over_chunks(frame: DataFrame, answers: DataFrame | None, work: Callable, schema: str, buckets: int, facts: dict,
                 order: int) -> DataFrame:
     """Apply ``work(Chunk) -> record batches`` to every chunk, met by its answers; a task holds one chunk at a time."""
@@ -423,10 +388,3 @@ def _hot_keys(chunks: DataFrame, tables: DataFrame, buckets: int, facts: dict, l
     if facts[1]["texts"] >= load:
         keys = np.append(keys, START)
     return np.sort(keys)
-
-
-def release(spark) -> None:
-    """Let Spark remove the shuffle files of the steps that are over."""
-    import gc
-    gc.collect()
-    spark._jvm.System.gc()

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe, html_text, katz, maxscore, ngram_join, packing, quality, sharding, vptree
+from . import base, bpe, html_text, katz, maxscore, ngram_join, packing, quality, sharding, suffix_dedup, vptree
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -149,3 +149,9 @@ def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
     docs = base.read(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
     return katz.scores(docs, order=2)
+
+
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps once the 50-byte strings of earlier documents are taken out."""
+    return suffix_dedup.summary(suffix_dedup.repeated_ranges(base.read(spark, sf_dir, "documents").select("doc_id", "text")))
