@@ -58,21 +58,24 @@ def chunked(docs: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal number, held, size
-            ids, out, counts, words = (np.concatenate(x) for x in zip(*held, strict=True))
-            vocabulary, tokens = np.unique(words, return_inverse=True)
-            blob = freeze(doc_id=ids, held=out, length=counts.astype(np.uint32), vocabulary=vocabulary, tokens=tokens.astype(np.uint32))
+            ids, none, out, counts, words = (np.concatenate(x) for x in zip(*held, strict=True))
+            vocabulary, tokens, often = np.unique(words, return_inverse=True, return_counts=True)
+            rank = np.argsort(-often, kind="stable")          # small numbers for frequent words
+            vocabulary, tokens = vocabulary[rank], np.argsort(rank)[tokens]
+            blob = freeze(doc_id=ids, no_id=none, held=out, length=counts.astype(np.uint32), vocabulary=vocabulary, tokens=tokens.astype(np.uint32))
             held, size, number = [], 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array([number - 1], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "blob"])
 
         for batch in batches:
             data, starts = text_bytes(batch.column(1))
-            ids, out = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            ids, none = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            out = batch.column(2).fill_null(False).to_numpy(zero_copy_only=False)
             for a, b in slices(starts):
                 if size and size + starts[b] - starts[a] > CHUNK:
                     yield flush()
                 words, per_text = word_hashes(data[starts[a]:starts[b]], starts[a:b + 1] - starts[a], powers)
                 words = np.insert(np.maximum(words, END + np.uint64(1)), np.cumsum(per_text), END)
-                held.append((ids[a:b], out[a:b], per_text + 1, words))
+                held.append((ids[a:b], none[a:b], out[a:b], per_text + 1, words))
                 size += int(starts[b] - starts[a])
         if held:
             yield flush()
@@ -138,6 +141,11 @@ class Chunk:
         self.asked = seen[self.pair_history] & (self.pair_word != NONE)
         self.pair_lower = np.zeros(len(pair))
         self.pair_lower[self.grams] = self.lower
+        if level == 2:      # few words differ in probability
+            self.codes, code = np.unique(self.word_p, return_inverse=True)
+            self.pair_code = code[word]
+        else:
+            self.codes, self.pair_code = np.unique(self.pair_lower, return_inverse=True)
         self.gram_key = mix(keys[self.pair_history] + self.pair_word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def _questions(self, level: int) -> tuple[np.ndarray, ...]:
@@ -167,8 +175,9 @@ class Chunk:
         for b, part in pieces(np.argsort(bucket, kind="stable"), bucket):
             h, w, p = history[part], word[part], position[part]
             run = np.append(True, h[1:] != h[:-1])
+            code, values = coded(np.where(p >= 0, self.pair_code[p], 0), self.codes)
             yield b, freeze(history=self.history_key[h[run]], run=np.diff(np.append(np.flatnonzero(run), len(h))).astype(np.uint32), word=w,
-                            n=np.where(p >= 0, counts[p], 0).astype(np.uint32), lower=np.where(p >= 0, self.pair_lower[p], 0))
+                            n=np.where(p >= 0, counts[p], 0).astype(np.uint32), code=code, lower=values)
 
     def _answered(self, level: int, answers: dict[int, dict]) -> None:
         """Probabilities of this order for every token, from the totals."""
@@ -206,6 +215,13 @@ def discounted(n: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(n <= SMALL, d[np.minimum(n, SMALL)], 1.0) * n
 
 
+def coded(code: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``code`` renumbered to the values it uses, and those."""
+    used = np.zeros(len(values), bool)
+    used[code] = True
+    return (np.cumsum(used) - 1)[code].astype(np.uint32), values[used]
+
+
 def over_chunks(frame: DataFrame, answers: DataFrame | None, work: Callable, schema: str, buckets: int, facts: dict,
                 order: int) -> DataFrame:
     """Apply ``work(Chunk) -> record batches`` to every chunk, met by its answers; a task holds one chunk at a time."""
@@ -246,7 +262,8 @@ def answer_words(questions: DataFrame, buckets: int) -> DataFrame:
         asked = [thaw(b) for b in table.column("blob").to_pylist()]
         words, at = np.unique(np.concatenate([a["word"] for a in asked]), return_inverse=True)
         total = np.bincount(at, np.concatenate([a["n"] for a in asked]), len(words)).astype(np.int64)
-        number = (np.arange(len(words), dtype=np.uint32) * np.uint32(buckets) + np.uint32(bucket))
+        number = np.empty(len(words), np.uint32)
+        number[np.argsort(-total, kind="stable")] = np.arange(len(words), dtype=np.uint32) * np.uint32(buckets) + np.uint32(bucket)
         number[total == 0] = NONE
         rows, a = [(-1, freeze(tokens=np.array([total.sum()]), known=np.array([(total > 0).sum()]),
                                often=np.bincount(total[total <= SMALL + 1], minlength=SMALL + 2)[1:],
@@ -268,7 +285,8 @@ def answer_grams(questions: DataFrame, level: int, hot: np.ndarray) -> DataFrame
         asked = [thaw(b) for b in table.column("blob").to_pylist()]
         sizes = [len(a["word"]) for a in asked]
         history = np.concatenate([np.repeat(a["history"], a["run"]) for a in asked])
-        word, n, lower = (np.concatenate([a[c] for a in asked]) for c in ("word", "n", "lower"))
+        word, n = (np.concatenate([a[c] for a in asked]) for c in ("word", "n"))
+        lower = np.concatenate([a["lower"][a["code"]] for a in asked])
         order = np.lexsort((word, history))
         h, w = history[order], word[order]
         new = np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1]))
@@ -329,6 +347,8 @@ def scores(docs: DataFrame, order: int = 2) -> DataFrame:
     if not tokens:
         facts[1]["unseen"] = 1.0
     tables = answers.filter("chunk >= 0")
+    del asked
+    release(spark)
 
     for level in range(2, order + 1):
         hot = _hot_keys(chunks, tables, buckets, facts, level)
@@ -351,6 +371,7 @@ def scores(docs: DataFrame, order: int = 2) -> DataFrame:
                         "hot_small": np.stack([np.bincount(at, np.concatenate([s[r] for s in small]), len(keys)) for r in range(SMALL)])
                         if len(keys) else np.zeros((SMALL, 0))}
         tables = tables.unionByName(answers.filter("chunk >= 0"))
+        del asked
         release(spark)
 
     def finish(number: int, chunk: Chunk) -> Iterator[pa.RecordBatch]:
@@ -358,7 +379,7 @@ def scores(docs: DataFrame, order: int = 2) -> DataFrame:
         base = np.log10((n + 0.1) / (tokens + 0.1 * (known + 1)))
         ids = chunk.doc_id
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(chunk.held), pa.array(chunk.length.astype(np.int64)), pa.array(chunk.sums((n > 0).astype(np.int64))),
+            [pa.array(ids, mask=chunk.no_id.astype(bool)), pa.array(chunk.held), pa.array(chunk.length.astype(np.int64)), pa.array(chunk.sums((n > 0).astype(np.int64))),
              pa.array(np.full(len(ids), tokens)), pa.array(chunk.sums(base)), pa.array(chunk.sums(np.log10(chunk.lower)))],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
