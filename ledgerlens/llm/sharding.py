@@ -26,36 +26,34 @@ def interleave(rows: DataFrame, key: str, stratum: str, shards: int, seed: str =
     """Add ``shard`` and ``slot`` (gapless from 0 within the shard); shard sizes differ by at most one row.
 
     ``key`` is hashed with the seed for the random order; rows with equal keys are ordered by ``ties``, and rows equal
-    in those too are interchangeable. A null key or stratum is a value of its own. Columns of the input are kept; an
-    empty table gives an empty table. ``shards`` may exceed the number of rows: the rest stay empty.
+    in those too are interchangeable. A null key or stratum is a value of its own. Columns of the input are kept, but for
+    any named ``shard`` or ``slot``, which are replaced; an empty table gives an empty table. ``shards`` may exceed the number of rows: the rest stay empty.
     """
-    cols = rows.columns
+    cols = [c for c in rows.columns if c not in ("shard", "slot")]
     count = rows.count()
     digits = max(1, math.ceil(math.log(max(1, count / ROWS_PER_BUCKET), 16)))
     spans = max(1, count // ROWS_PER_BUCKET)
     mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
     strat = F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("null"))
-    marked = rows.withColumns({"_h": mark, "_s": strat})
-    marked = marked.withColumn("_b", F.conv(F.substring("_h", 1, digits), 16, 10).cast("long"))
+    # the row travels as one value, so that no column of it can clash with those made here
+    marked = rows.select(F.struct(*cols).alias("row"), mark.alias("h"), strat.alias("s"), F.struct(key, *ties).alias("tie"))
+    marked = marked.withColumn("b", F.conv(F.substring("h", 1, digits), 16, 10).cast("long"))
 
     # places in the stratum: counts per (stratum, hash prefix), summed over the smaller prefixes
-    cube = marked.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    ahead = W.partitionBy("_s").orderBy("_b")
-    cube = cube.select("_s", "_b", (F.sum("_c").over(ahead) - F.col("_c")).alias("_ahead"),
-                       F.sum("_c").over(W.partitionBy("_s")).alias("_n"))
-    here = W.partitionBy("_s", "_b").orderBy("_h", key, *ties)
-    ranked = marked.withColumn("_r", F.row_number().over(here) - 1).join(cube, ["_s", "_b"])
-    ranked = ranked.withColumn("_f", (2 * (F.col("_ahead") + F.col("_r")) + 1) / (2 * F.col("_n")))
-    ranked = ranked.withColumn("_g", F.least(F.floor(F.col("_f") * spans), F.lit(spans - 1)).cast("long"))
-    ranked = stored(ranked.select(*cols, "_h", "_s", "_f", "_g"))
+    cube = marked.groupBy("s", "b").agg(F.count(F.lit(1)).alias("c"))
+    ahead = W.partitionBy("s").orderBy("b")
+    cube = cube.select("s", "b", (F.sum("c").over(ahead) - F.col("c")).alias("ahead"), F.sum("c").over(W.partitionBy("s")).alias("n"))
+    here = W.partitionBy("s", "b").orderBy("h", "tie")
+    ranked = marked.withColumn("r", F.row_number().over(here) - 1).join(cube, ["s", "b"])
+    ranked = ranked.withColumn("f", (2 * (F.col("ahead") + F.col("r")) + 1) / (2 * F.col("n")))
+    ranked = ranked.withColumn("g", F.least(F.floor(F.col("f") * spans), F.lit(spans - 1)).cast("long"))
+    ranked = stored(ranked.select("row", "h", "s", "tie", "f", "g"))
 
     # places in the whole: counts per interval of the fractional rank
-    before = offsets(ranked.groupBy("_g").agg(F.count(F.lit(1)).alias("_c")), "_g", "_c").select("_g", "before")
-    order = W.partitionBy("_g").orderBy("_f", "_s", "_h", key, *ties)
-    placed = ranked.withColumn("_r", F.row_number().over(order) - 1).join(before, "_g")
-    at = F.col("before") + F.col("_r")
+    before = offsets(ranked.groupBy("g").agg(F.count(F.lit(1)).alias("c")), "g", "c").select("g", "before")
+    order = W.partitionBy("g").orderBy("f", "s", "h", "tie")
+    placed = ranked.withColumn("r", F.row_number().over(order) - 1).join(before, "g").withColumn("at", F.col("before") + F.col("r"))
     # shard k holds positions ceil(k * count / shards) to ceil((k + 1) * count / shards) - 1
-    shard = F.expr(f"((before + _r) * {shards}) div {max(1, count)}")
-    first = F.expr(f"(_shard * {count} + {shards - 1}) div {shards}")
-    return placed.withColumn("_shard", shard).select(
-        *cols, F.col("_shard").cast("int").alias("shard"), (at - first).cast("long").alias("slot"))
+    placed = placed.withColumn("k", F.expr(f"(at * {shards}) div {max(1, count)}"))
+    first = F.expr(f"(k * {count} + {shards - 1}) div {shards}")
+    return placed.select("row.*", F.col("k").cast("int").alias("shard"), (F.col("at") - first).cast("long").alias("slot"))
