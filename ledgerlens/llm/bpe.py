@@ -43,6 +43,8 @@ def merge_table(ranks: dict[bytes, int]) -> np.ndarray:
 
 # One step for words still open: neighbouring tokens meet the merge table, each word's leftmost pair of the smallest rank
 # is found, and its left token becomes the merged one while its right token goes. A word without a pair is done.
+# {window} is empty as long as the engine hands rows on in the order of their words and positions, which every row
+# checks; if one ever finds otherwise, the words are encoded again with the order spelt out.
 _LEFTMOST = """
 WITH RECURSIVE t(step, w, p, id, done) AS (
   SELECT 0, w, p, id, false FROM _start
@@ -53,8 +55,9 @@ WITH RECURSIVE t(step, w, p, id, done) AS (
     FROM t LEFT JOIN (
       SELECT w, (min(k) >> 32)::INT AS merged, (min(k) & 4294967295)::INT AS at_p, arg_min(np, k) AS gone
       FROM (SELECT n.w, n.np, (m.merged::BIGINT << 32) + n.p AS k
-            FROM (SELECT w, p, id, lead(id) OVER o AS nid, lead(w) OVER o AS nw, lead(p) OVER o AS np
-                  FROM t WHERE NOT done AND step < {steps} WINDOW o AS (ORDER BY w, p)) n
+            FROM (SELECT w, p, nw, np, CASE WHEN nw < w OR nw = w AND np <= p THEN error('rows out of order')::INT ELSE nid END AS nid, id
+                  FROM (SELECT w, p, id, lead(id) OVER o AS nid, lead(w) OVER o AS nw, lead(p) OVER o AS np
+                        FROM t WHERE NOT done AND step < {steps} WINDOW o AS ({window}))) n
             JOIN merges m ON m.a = n.id AND m.b = n.nid WHERE n.nw = n.w)
       GROUP BY w) b ON b.w = t.w
     WHERE NOT t.done AND t.step < {steps}
@@ -82,10 +85,8 @@ WITH RECURSIVE t(step, w, p, id, done) AS (
 )
 SELECT w, p, id, done FROM t WHERE done OR step = {steps}
 """
-_READ = """
-SELECT w, string_agg(id::VARCHAR, ' ' ORDER BY p) AS ids, unhex(string_agg(hx, '' ORDER BY p)) AS plain
-FROM _done JOIN vocabulary USING (id) GROUP BY w
-"""
+# ids and bytes of every word, in order: 'id:hex id:hex'
+_READ = "SELECT w, string_agg(code, ' ' ORDER BY p) AS codes FROM _done JOIN vocabulary USING (id) GROUP BY w"
 
 
 class Encoder:
@@ -93,12 +94,13 @@ class Encoder:
 
     def __init__(self, vocabulary: tuple[list[bytes], bytes]):
         import duckdb
+        self.out_of_order = duckdb.InvalidInputException
         tokens, merges = vocabulary
         merges = np.frombuffer(zlib.decompress(merges), np.int32).reshape(-1, 4)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.register("_m", pa.table({c: merges[:, i] for i, c in enumerate(("a", "b", "merged", "together"))}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM _m")
-        self.db.register("_v", pa.table({"id": pa.array(range(len(tokens)), pa.int32()), "hx": [t.hex() for t in tokens]}))
+        self.db.register("_v", pa.table({"id": pa.array(range(len(tokens)), pa.int32()), "code": [f"{i}:{t.hex()}" for i, t in enumerate(tokens)]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM _v")
         self.of_byte = np.zeros(256, np.int32)
         for i, t in enumerate(tokens):
@@ -114,7 +116,7 @@ class Encoder:
             (long if len(w) > LONG else short).append(w)
         for group, query in ((short, _LEFTMOST), (long, _TOGETHER)):
             for a in range(0, len(group), CHUNK):
-                self._encode(group[a:a + CHUNK], query.format(steps=STEPS))
+                self._encode(group[a:a + CHUNK], query)
 
     def _encode(self, words: list[str], query: str) -> None:
         raw = [w.encode() for w in words]
@@ -126,14 +128,19 @@ class Encoder:
         finished = []
         while len(start):
             self.db.register("_start", start)
-            got = self.db.sql(query).to_arrow_table()
+            try:
+                got = self.db.sql(query.format(steps=STEPS, window="")).to_arrow_table()
+            except self.out_of_order:
+                got = self.db.sql(query.format(steps=STEPS, window="ORDER BY w, p")).to_arrow_table()
             done = got.column("done").combine_chunks()
             finished.append(got.filter(done).select(["w", "p", "id"]))
             start = got.filter(pa.compute.invert(done)).select(["w", "p", "id"])
         self.db.register("_done", pa.concat_tables(finished))
         rows = self.db.sql(_READ).to_arrow_table()
-        for w, ids, plain in zip(*(rows.column(c).to_pylist() for c in ("w", "ids", "plain")), strict=True):
-            self.ids[words[w]], self.plain[words[w]] = ids, plain
+        for w, codes in zip(rows.column("w").to_pylist(), rows.column("codes").to_pylist(), strict=True):
+            pairs = [c.partition(":") for c in codes.split(" ")]
+            self.ids[words[w]] = " ".join([x[0] for x in pairs])
+            self.plain[words[w]] = bytes.fromhex("".join([x[2] for x in pairs]))
 
     def texts(self, texts: list[str], find) -> Iterator[tuple[int, str, str]]:
         """For each text the number of ids and the digests of the ids and of the decoded bytes."""
