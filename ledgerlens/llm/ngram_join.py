@@ -11,11 +11,13 @@ share no indexed token or pair differ in at least ``c`` prefix tokens, so the pr
 ``n - ceil(t * n)``. The number of subclasses follows the size (zones); a document near the lower end of its zone is
 also indexed by the zone below, where shorter partners are.
 
-Equal sets are one node of the similarity graph. In each posting list of more than ``SMALL`` nodes only links to a hub
-are tried first; after the components of the verified links are known, the remaining pairs of nodes in different
-components are tried. So a large group of near copies costs a few pairs for each member, and no link that matters for
-the components is left out. Candidates are verified on the full sets: the sets of a hub's partners are sent to the hub
-in groups of bounded size.
+Equal sets are one node of the similarity graph. In posting lists of more than ``SMALL`` nodes only links to a hub that
+lists of one bucket lead to are tried first; when the components of the verified links are known, a few members of a
+list's largest component are tried with all others, and in the end all remaining pairs of nodes in one list but in
+different components. So a large group of near copies costs a few pairs for each member, and no link that matters for
+the components is left out. Candidates first meet as bit maps of their sets (four bits a token or more), whose difference bounds
+the overlap from above; the pairs that are left are verified on the full sets: the sets of a hub's partners are sent
+to the hub in groups of bounded size.
 """
 from __future__ import annotations
 
@@ -28,25 +30,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .base import dropped, parts, stored
+from .base import dropped, parts, release, stored
 from .hashing import WORDS, Powers, mix, shingle_sets
 
 SLOTS = 1 << 22      # counters in the frequency table
 SEGMENTS = 32        # pieces in which tasks hand over their counters
 SMALL = 8            # posting lists up to this size give all their pairs at once
+EDGES = 1_000_000    # links that one task contracts in memory
+COARSE = 2048        # bits of the map by which members of a long posting list are compared
+PROBES = 4           # members of a list's largest component that meet all others
+TURNS = 2            # times that other ones do
 GROUP = 256          # partners verified against one copy of a hub's set
 BLOCK = 1024         # members of a long posting list that meet another block in one task
 ZONE = 64            # sizes below it are indexed by single tokens only; zones grow by four
 
 
 def describe(docs: DataFrame, words: int) -> DataFrame:
-    """One row per document ``(kind 0: doc_id, n, node, check)`` and the tasks' counters ``(kind 1: part, blob)``.
+    """One row per document ``(kind 0: doc_id, n, node, blob = its bit map)`` and the tasks' counters ``(kind 1: part, blob)``.
 
-    ``node`` and ``check`` are two 64-bit hashes of the set."""
+    ``node`` is a 64-bit hash of the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, counts, seen = Powers(), np.zeros(SLOTS, np.uint16), set()
-        names = ["kind", "doc_id", "n", "node", "check", "part", "blob"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["kind", "doc_id", "n", "node", "part", "blob"]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
         def rows(**columns) -> pa.RecordBatch:
             size = len(next(iter(columns.values())))
@@ -54,41 +60,60 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
                 [pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in zip(names, kinds, strict=True)], names)
 
         for batch in batches:
-            n, node, check = [], [], []
+            n, node, bits = [], [], []
             for _, s in shingle_sets(batch.column(1), powers, words):
                 n.append(len(s))
                 node.append(int(mix(s).sum().astype(np.int64)))
-                check.append(int(mix(s ^ np.uint64(0xA0761D6478BD642F)).sum().astype(np.int64)))
+                bits.append(bit_map(s))
                 if len(s) and (n[-1], node[-1]) not in seen:     # copies within a task count once
                     seen.add((n[-1], node[-1]))
                     slot = np.unique(s & np.uint64(SLOTS - 1))
                     counts[slot] += counts[slot] < 65535
-            yield rows(kind=np.zeros(len(n), np.int32), doc_id=batch.column(0), n=n, node=node, check=check)
+            yield rows(kind=np.zeros(len(n), np.int32), doc_id=batch.column(0), n=n, node=node, blob=bits)
         for i, piece in enumerate(np.split(counts, SEGMENTS)):
             yield rows(kind=[1], part=[i], blob=[zlib.compress(piece.tobytes(), 1)])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "kind int, doc_id long, n long, node long, check long, part int, blob binary")
+        run, "kind int, doc_id long, n long, node long, part int, blob binary")
 
 
-def frequency_classes(told: DataFrame) -> bytes:
-    """A byte per slot: 0 for rare tokens, else one more than the binary logarithm of the excess."""
+def bit_map(tokens: np.ndarray) -> bytes:
+    size = 64
+    while size < 4 * len(tokens):
+        size *= 2
+    bits = np.zeros(size, bool)
+    bits[(tokens >> np.uint64(24)) & np.uint64(size - 1)] = True
+    return np.packbits(bits).tobytes()
+
+
+def may_link(a: bytes, n: int, b: bytes, m: int, percent: int) -> bool:
+    """False only if the bit maps prove that the sets of ``n`` and ``m`` tokens overlap too little: a bit that only one
+    has is a token that the other lacks."""
+    x, y = (np.unpackbits(np.frombuffer(v, np.uint8)) for v in (a, b))
+    size = min(len(x), len(y))
+    x, y = x.reshape(-1, size).any(axis=0), y.reshape(-1, size).any(axis=0)
+    most = min(n - int((x & ~y).sum()), m - int((y & ~x).sum()))
+    return 100 * most >= percent * (n + m - most)
+
+
+def frequency_classes(told: DataFrame, tokens: int) -> bytes:
+    """A byte per slot: 0 for rare tokens, else one more than the binary logarithm of the excess over the usual count."""
+    usual = 2 * tokens / SLOTS + 16
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 got = np.frombuffer(zlib.decompress(blob), np.uint16)
                 total[part] = total.get(part, 0) + got.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()),
-                                          pa.array([v.tobytes() for v in total.values()], pa.binary())], ["part", "blob"])
+        for part, counts in total.items():
+            cls = np.where(counts > usual, 1 + np.log2(np.maximum(counts, 1) / usual), 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(cls.tobytes())], pa.binary())],
+                                             ["part", "blob"])
 
-    summed = told.filter("kind = 1").select("part", "blob").repartition(SEGMENTS, "part").mapInArrow(add, "part int, blob binary")
-    counts = np.zeros(SLOTS, np.int64)
-    width = SLOTS // SEGMENTS
-    for row in summed.collect():       # SLOTS counters, whatever the input
-        counts[row["part"] * width:(row["part"] + 1) * width] = np.frombuffer(row["blob"], np.int64)
-    usual = 2 * counts.mean() + 16
-    return np.where(counts > usual, 1 + np.log2(np.maximum(counts, 1) / usual), 0).astype(np.uint8).tobytes()
+    found = told.filter("kind = 1").select("part", "blob").repartition(SEGMENTS, "part").mapInArrow(add, "part int, blob binary")
+    pieces = {row["part"]: zlib.decompress(row["blob"]) for row in found.collect()}     # SLOTS bytes, whatever the input
+    return b"".join(pieces.get(i, bytes(SLOTS // SEGMENTS)) for i in range(SEGMENTS))
 
 
 def zones(n: int, threshold: float) -> list[int]:
@@ -189,6 +214,27 @@ def fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(a, b) * 100 >= np.maximum(a, b) * percent
 
 
+def hubs(node: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Posting lists of the given lengths lie end to end; for each member the position of a node of the smallest number
+    that chains of these lists lead to."""
+    if not len(node):
+        return np.empty(0, np.int64)
+    known, at = np.unique(node, return_inverse=True)
+    first = np.cumsum(length) - length
+    label = np.arange(len(known))
+    while True:
+        least = np.repeat(np.minimum.reduceat(label[at], first), length)
+        new = label.copy()
+        np.minimum.at(new, at, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    where = np.empty(len(known), np.int64)
+    where[at[::-1]] = np.arange(len(node))[::-1]
+    return where[label[at]]
+
+
 def meet(posted: DataFrame, percent: int) -> DataFrame:
     """Posting lists met in their bucket: candidate pairs ``(kind 0: a, b)`` and members of long lists
     ``(kind 1: a = list, b = node, n)``."""
@@ -219,9 +265,10 @@ def meet(posted: DataFrame, percent: int) -> DataFrame:
             at = first[:-1][length == m]
             pairs += [(at + i, at + j) for i in range(m) for j in range(i + 1, m)]
         long = np.flatnonzero(length > SMALL)
-        hub = np.repeat(first[long], length[long])
-        member = hub + np.arange(len(hub)) - np.repeat(np.cumsum(length[long]) - length[long], length[long])
-        pairs.append((hub[member != hub], member[member != hub]))
+        member = np.repeat(first[long], length[long])
+        member += np.arange(len(member)) - np.repeat(np.cumsum(length[long]) - length[long], length[long])
+        hub = member[hubs(node[member], length[long])]
+        pairs.append((hub, member))
         a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
         keep = fits(size[a], size[b], percent) & (node[a] != node[b])
         both = np.unique(np.stack([node[a[keep]], node[b[keep]]]), axis=1) if keep.any() else np.empty((2, 0), np.int64)
@@ -235,7 +282,16 @@ def meet(posted: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, words: int) -> DataFrame:
-    """The candidate ``pairs (a, b)`` whose sets are similar enough. ``nodes`` has a document of each node."""
+    """The candidate ``pairs (a, b)`` whose sets are similar enough. ``nodes`` has size, bit map and a document of each."""
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, x, m, y = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = [may_link(x[i], n[i], y[i], m[i], percent) for i in range(len(n))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    at_a, at_b = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    pairs = pairs.join(at_a, "a").join(at_b, "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    pairs = stored(pairs.mapInArrow(likely, "a long, b long"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = docs.join(nodes.join(ends, "node").select("doc_id").distinct(), "doc_id", "left_semi")
 
@@ -278,24 +334,59 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int,
     return links
 
 
-def cross_pairs(long_lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes in one posting list but in different components so far."""
-    known = long_lists.join(labels, long_lists.node == labels.id, "left").select(
-        "list", "node", "n", F.coalesce("component", "node").alias("component"))
-    known = stored(known)
-    mixed = known.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
-    mixed = mixed.filter("lo <> hi").select("list", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+def coarse_maps(bits: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+    """Size of a bit map, at most ``COARSE``, and the map at that size and at half of it, both repeated up to ``COARSE``."""
+    x = np.unpackbits(np.frombuffer(bits, np.uint8))
+    size = min(len(x), COARSE)
+    folds = (x.reshape(-1, s).any(axis=0) for s in (size, size // 2))
+    return size, *(np.packbits(np.tile(f, COARSE // len(f))).view(np.uint64) for f in folds)
+
+
+def labelled(long_lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the posting lists with their component so far, of lists that have more than one."""
+    known = stored(long_lists.join(labels, long_lists.node == labels.id, "left").select(
+        "list", "node", "n", F.coalesce("component", "node").alias("component")))
+    mixed = known.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("list")
+    return stored(known.join(mixed, "list"))
+
+
+def probe_pairs(known: DataFrame, turn: int) -> DataFrame:
+    """For every posting list a few members of its largest component, each with all members outside of it.
+
+    In a large group of near copies these few find a link for most members, so that the exact step has little left."""
+    top = known.groupBy("list", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("list").agg(F.max_by("component", "c").alias("top"))
+    picked = [F.min_by("node", F.xxhash64("node", F.lit(PROBES * turn + i))).alias(f"p{i}") for i in range(PROBES)]
+    inside = known.join(top, "list").filter("component = top").groupBy("list", "top").agg(*picked)
+    outside = known.join(inside, "list").filter("component <> top")
+    return outside.select("node", F.explode(F.array(*(f"p{i}" for i in range(PROBES)))).alias("p")).distinct().select(
+        F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
+
+
+def cross_pairs(known: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """All pairs of nodes in one posting list but in different components so far, unless their bit maps rule a link out."""
+    mixed = known.groupBy("list").agg(F.count(F.lit(1)).alias("m")).select("list", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     at = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    dealt = known.join(mixed, "list").withColumn("mine", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("list", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "n", "component")
+    dealt = known.join(mixed, "list").join(nodes.select("node", "n", "bits"), ["node", "n"])
+    dealt = dealt.withColumn("mine", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("list", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "n",
+                         "component", "bits")
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
         mine, node, n, comp = (table.column(c).to_numpy() for c in ("mine", "node", "n", "component"))
+        size, own, half = (np.stack(x) for x in zip(*map(coarse_maps, table.column("bits").to_pylist()), strict=True))
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         a, b = [], []
         for x in left:
             y = right[(comp[right] != comp[x]) & fits(n[right], n[x], percent) & ((node[right] > node[x]) | (i != j))]
+            # sets of similar size have maps of the same size or of twice that: they meet at the smaller one
+            common = np.minimum(size[x], size[y])
+            x_map = np.where((common == size[x])[:, None], own[x], half[x])
+            y_map = np.where((common == size[y])[:, None], own[y], half[y])
+            only_x = np.bitwise_count(x_map & ~y_map).sum(axis=1) // (COARSE // common)
+            only_y = np.bitwise_count(~x_map & y_map).sum(axis=1) // (COARSE // common)
+            most = np.minimum(n[x] - only_x.astype(np.int64), n[y] - only_y.astype(np.int64))
+            y = y[100 * most >= percent * (n[x] + n[y] - most)]
             a.append(np.minimum(node[x], node[y]))
             b.append(np.maximum(node[x], node[y]))
         return pa.table({"a": np.concatenate([*a, np.empty(0, np.int64)]), "b": np.concatenate([*b, np.empty(0, np.int64)])})
@@ -303,6 +394,28 @@ def cross_pairs(long_lists: DataFrame, labels: DataFrame, percent: int) -> DataF
     return dealt.groupBy("list", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """``links (src, dst)`` with the same components but few links: tasks of ``EDGES`` links keep a spanning forest each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        pairs = [(root(x), x) for x in list(parent)]
+        pairs = [(r, x) for r, x in pairs if r != x]
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["src", "dst"])
+
+    return stored(links.repartition(max(1, -(-links.count() // EDGES))).mapInArrow(run, "src long, dst long"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row: its set size and the smallest id reachable over links.
 
@@ -314,19 +427,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, id_c
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     told = stored(describe(docs, words))
-    rows = told.filter("kind = 0").select("doc_id", "n", "node", "check")
+    rows = told.filter("kind = 0").select("doc_id", "n", "node", F.col("blob").alias("bits"))
     linked = rows.filter("doc_id is not null and n > 0")
-    nodes = stored(linked.groupBy("node", "n").agg(F.min("doc_id").alias("doc_id")))
-    classes = spark.sparkContext.broadcast(frequency_classes(told))
+    nodes = stored(linked.groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.min("bits").alias("bits")))
+    tokens = rows.agg(F.sum("n")).first()[0] or 0
+    classes = spark.sparkContext.broadcast(frequency_classes(told, tokens))
 
     found = stored(meet(postings(docs.filter("doc_id is not null"), classes, 8 * parts(spark), percent, words), percent))
     pairs = stored(found.filter("kind = 0").select("a", "b").distinct())
-    links = verified(pairs, docs, nodes, percent, words)
+    links = contracted(verified(pairs, docs, nodes, percent, words))
     long_lists = found.filter("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("node"), "n")
-    more = stored(cross_pairs(long_lists, components(links), percent).join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(verified(more, docs, nodes, percent, words))
     labels = components(links)
+    for turn in range(TURNS + 1):
+        release(spark)
+        known = labelled(long_lists, labels)
+        more = probe_pairs(known, turn) if turn < TURNS else cross_pairs(known, nodes, percent)
+        more = stored(more.join(pairs, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            links = contracted(links.unionByName(verified(more, docs, nodes, percent, words)))
+            labels = components(links)
+            pairs = pairs.unionByName(more)
     # label every component by its smallest document
     placed = nodes.join(labels, nodes.node == labels.id, "left").select("node", "n", "doc_id", F.coalesce("component", "node").alias("component"))
     placed = stored(placed)
