@@ -179,15 +179,14 @@ def device_ring_members(spark, sf):
   SELECT DISTINCT case_id, card_id FROM ring_hits r
   WHERE EXISTS (SELECT 1 FROM ring_hits o JOIN alerts a ON a.case_id = o.case_id WHERE o.case_id = r.case_id AND o.card_id <> a.card_id)""",
   *BURSTS[:1], f"""
-  scoped AS (SELECT a.case_id, b.* FROM alerts a JOIN band b ON b.us >= opened_us - {30 * D} AND b.us < opened_us
-    WHERE risk_score >= 0.2)""", f"""
+  scoped AS (SELECT a.case_id, b.* FROM alerts a JOIN band b ON b.us >= opened_us - {30 * D} AND b.us < opened_us)""", f"""
   ring_hits AS (SELECT case_id, card_id FROM (SELECT s.case_id, s.card_id, s.us, s.TransactionID, list_sort(list(t.amt)) AS amts
     FROM scoped s JOIN scoped t ON t.case_id = s.case_id AND t.card_id = s.card_id AND t.us <= s.us + {W}
       AND (t.us, t.TransactionID) >= (s.us, s.TransactionID) GROUP BY ALL HAVING count(*) >= 3)
     WHERE amts[-1] - amts[1] >= 0.5 AND NOT list_bool_or(list_transform(range(2, len(amts) + 1), lambda i: amts[i] - amts[i - 1] < 0.10)))"""))
 def structuring_ring(spark, sf):
     b = Bank(spark, sf)
-    a = b.alerts.filter(F.col("risk_score") >= 0.2).select("case_id", F.col("card_id").alias("own_card"), F.col("opened_us").alias("as_of"))
+    a = b.alerts.select("case_id", F.col("card_id").alias("own_card"), F.col("opened_us").alias("as_of"))
     return R.structuring_ring(a, b.ledger, TESTBED)
 
 

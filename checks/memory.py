@@ -10,6 +10,7 @@ from ledgerlens.operators import features as FT
 from ledgerlens.operators import memory as M
 from ledgerlens.operators import similarity as N
 from ledgerlens.operators.skew import top_k
+from ledgerlens.session import stored
 from ledgerlens.sources.testbed import Bank, table
 
 from .features import KEYED
@@ -74,7 +75,7 @@ Z = ["vecs AS (SELECT case_id, outcome, closed_us, opened_us, [" + ", ".join(
 @query("case_vectors", cases("SELECT case_id, " + ", ".join(f"round(v[{i + 1}], 6) AS z{i}" for i in range(24)) + " FROM vecs",
                              *KEYED_ONLY, *FEATS, *Z))
 def case_vectors(spark, sf):
-    index = index_of(Bank(spark, sf)).persist()
+    index = stored(index_of(Bank(spark, sf)))
     z = M.standardise(index, M.moments(index))
     return z.select("case_id", *[F.round(F.get("v", F.lit(i)), 6).alias(f"z{i}") for i in range(24)])
 
@@ -87,7 +88,7 @@ def _knn_sql(k, where):
 
 
 def _knn(spark, sf, k, outcome=None):
-    index = index_of(Bank(spark, sf)).persist()
+    index = stored(index_of(Bank(spark, sf)))
     z = M.standardise(index, M.moments(index))
     q = z.select(F.col("case_id").alias("query_id"), "v", F.col("opened_us").alias("as_of"))
     p = z if outcome is None else z.filter(F.col("outcome") == outcome)
@@ -200,7 +201,7 @@ def search(queries, corpus_counts, idf, k, min_score=0.05):
     q = X.dense(X.embed(queries, idf, "id"), "id").select(F.col("id").alias("query_id"), "v", F.lit(1).alias("as_of"))
     p = X.dense(X.embed(corpus_counts, idf, "id"), "id").select(F.col("id").alias("point_id"), "v", F.lit(0).alias("since"))
     far = math.sqrt(2 - 2 * min_score)
-    r = N.nearest(q, p.persist(), k, max_distance=far)
+    r = N.nearest(q, stored(p), k, max_distance=far)
     return r.select("query_id", "point_id", F.round(1 - F.col("distance") * F.col("distance") / 2, 5).alias("score"),
                     F.col("rank").cast("bigint").alias("rank"))
 

@@ -14,7 +14,7 @@ parts AS (
     CASE event_type WHEN 'purchase' THEN 'W' WHEN 'click' THEN 'C' WHEN 'view' THEN 'H'
                     WHEN 'signup' THEN 'R' ELSE 'S' END AS ProductCD,
     CASE WHEN online THEN 'online' ELSE 'in_person' END AS channel,
-    'C' || lpad(CAST(user_id AS VARCHAR), 5, '0') AS customer_id,
+    'C' || lpad(CAST(user_id AS VARCHAR), greatest(5, length(CAST(user_id AS VARCHAR)))::INT, '0') AS customer_id,
     CAST(k % 2 AS VARCHAR) AS card2, CASE WHEN k % 5 = 0 THEN 'debit' ELSE 'credit' END AS card6,
     least(1.0, value / 100) AS risk_score, least(1.0, value / 100) AS p_txn,
     CASE WHEN k % 23 <> 7 THEN CAST(k % 8 + 100 AS VARCHAR) END AS addr1,

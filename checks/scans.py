@@ -128,7 +128,7 @@ def case_memory_upsert(spark, sf):
       CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events),
   firsts AS (SELECT user_id, k % 2 AS card2, k % 5 = 0 AS debit, min(us) AS first_us FROM parts GROUP BY ALL),
   numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first_us) AS n FROM firsts)
-  SELECT TransactionID, 'C' || lpad(CAST(user_id AS VARCHAR), 5, '0') || '-K' || n AS card_id
+  SELECT TransactionID, 'C' || lpad(CAST(user_id AS VARCHAR), greatest(5, length(CAST(user_id AS VARCHAR)))::INT, '0') || '-K' || n AS card_id
   FROM parts JOIN numbered USING (user_id) WHERE parts.k % 2 = card2 AND (parts.k % 5 = 0) = debit""")
 def card_numbering_by_first_use(spark, sf):
     return L.number_cards_by_first_use(T.raw_ledger(spark, sf), ["card2", "card6"]).select("TransactionID", "card_id")

@@ -115,7 +115,7 @@ def in_band(rows: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return rows.filter((F.col("channel") == "online") & (amount < params.cap) & (amount >= params.band * params.cap))
 
 
-def known_before(rows: DataFrame, labels: DataFrame, key: str, name: str, hot_rows: int = 1_000_000) -> DataFrame:
+def known_before(rows: DataFrame, labels: DataFrame, key: str, name: str) -> DataFrame:
     """As-of backward count, strict: confirmed rows of ``key`` whose case closed before ``us``.
 
     Rows and closings are merged into one time line; a closing at the row's own instant sorts after it.
@@ -124,7 +124,7 @@ def known_before(rows: DataFrame, labels: DataFrame, key: str, name: str, hot_ro
     line = rows.withColumn("_kind", F.lit(0)).unionByName(
         labels.filter(F.col(key).isNotNull()).select(key, F.col("closed_us").alias("us"), F.lit(1).alias("_kind")),
         allowMissingColumns=True)
-    line = running_totals(line, [key], ["us", "_kind"], {name: ("sum", F.col("_kind"))}, hot_rows=hot_rows)
+    line = running_totals(line, [key], ["us", "_kind"], {name: ("sum", F.col("_kind"))})
     return line.filter(F.col("_kind") == 0).drop("_kind")
 
 

@@ -1,9 +1,7 @@
 """Causal behaviour features.
 
-All customer-keyed windows run behind one exchange on ``customer_id``: ``card_id``, ``uid`` and
-``uid2`` each belong to a single customer, so partitioning their windows by (customer, key) groups the
-same rows and needs only a local sort. Case closings travel in the same time line, which turns the
-strict as-of counts into running sums. Customers above ``hot_rows`` rows take the sliced path.
+Histories are running totals per key over time slices, so no customer, card or device is ordered in one
+task. Case closings travel in the same time line, which turns the strict as-of counts into running sums.
 """
 from __future__ import annotations
 
@@ -13,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import flag
 from ..params import DAY, HOUR
-from .skew import HOT_ROWS, hot_keys, running_totals, split_hot, trailing_totals
+from ..session import stored
+from .skew import running_totals, trailing_totals
 
 CUSTOMER = "customer_id"
 PROFILE_KEYS = ["uid", "uid2", CUSTOMER]
@@ -60,12 +59,12 @@ def row_features(rows: DataFrame) -> DataFrame:
         "addr1n": F.col("addr1").try_cast("double")})
 
 
-def device_use(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def device_use(rows: DataFrame) -> DataFrame:
     """``dev_txn7d``: uses of the device in ``(t - 7 d, t]``. Rows without a device skip the shuffle."""
     known = F.col("device_profile_id").isNotNull()
     some, none = rows.filter(known), rows.filter(~known)
     some = trailing_totals(some, ["device_profile_id"], "TransactionID", "us",
-                           {"dev_txn7d": (7 * DAY, F.lit(1))}, hot_rows=hot_rows)
+                           {"dev_txn7d": (7 * DAY, F.lit(1))})
     return some.unionByName(none.withColumn("dev_txn7d", F.lit(0).cast("long")))
 
 
@@ -78,61 +77,32 @@ def _time_line(rows: DataFrame) -> DataFrame:
 ORDER = ["us", "_kind", "TransactionID"]
 
 
-def _ordinary(rows: DataFrame) -> DataFrame:
+def _histories(rows: DataFrame) -> DataFrame:
     real = F.col("_kind") == 0
-    line = _time_line(rows).repartition(CUSTOMER)
-    cols = {}
-    for k in PROFILE_KEYS:
-        w = W.partitionBy(*dict.fromkeys([CUSTOMER, k])).orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
-        cols[f"n_prev_{k}"] = F.coalesce(F.count(F.when(real, 1)).over(w), F.lit(0))
-        cols[f"_sum_{k}"] = F.sum(F.when(real, F.col("TransactionAmt"))).over(w)
-        cols[f"_last_{k}"] = F.max(F.when(real, F.col("us"))).over(w)
-    for k in LABEL_KEYS:
-        w = W.partitionBy(*dict.fromkeys([CUSTOMER, k])).orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
-        cols[f"known_fraud_{k}"] = F.coalesce(F.sum("_kind").over(w), F.lit(0))
-    here = W.partitionBy(CUSTOMER).orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
-    for name, width in SPEEDS.items():
-        value = F.when(real, F.col("small_online") if name == "small1h" else F.lit(1))
-        out_of_span = F.sum(value).over(W.partitionBy(CUSTOMER).orderBy("us").rangeBetween(W.unboundedPreceding, -width))
-        cols[name] = F.sum(value).over(here) - F.coalesce(out_of_span, F.lit(0))
-    for c in SEEN:
-        w = W.partitionBy(CUSTOMER, F.coalesce(F.col(c), F.lit("NA"))).orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
-        cols[f"seen_{c}"] = (F.count(F.when(real, 1)).over(w) > 0).cast("int")
-    return line.withColumns(cols).filter(real)
-
-
-def _sliced(rows: DataFrame) -> DataFrame:
-    real = F.col("_kind") == 0
-    line = _time_line(rows)
+    values = {f"_v_{c}": F.coalesce(F.col(c), F.lit("NA")) for c in SEEN}
+    line = stored(_time_line(rows).withColumns(values))
+    out = line
     for k in LABEL_KEYS:
         totals = {f"known_fraud_{k}": ("sum", F.col("_kind"))}
         if k in PROFILE_KEYS:
             totals |= {f"n_prev_{k}": ("count", F.when(real, 1)),
                        f"_sum_{k}": ("sum", F.when(real, F.col("TransactionAmt"))),
                        f"_last_{k}": ("max", F.when(real, F.col("us")))}
-        line = running_totals(line, [k], ORDER, totals, force=True)
-    line = line.filter(real)
+        out = running_totals(out, [k], ORDER, totals, source=line)
     for c in SEEN:
-        line = running_totals(line.withColumn("_v", F.coalesce(F.col(c), F.lit("NA"))), [CUSTOMER, "_v"], ORDER,
-                              {f"seen_{c}": ("count", F.lit(1))}, force=True).drop("_v")
-        line = line.withColumn(f"seen_{c}", (F.col(f"seen_{c}") > 0).cast("int"))
+        out = running_totals(out, [CUSTOMER, f"_v_{c}"], ORDER, {f"seen_{c}": ("count", F.when(real, 1))}, source=line)
+        out = out.withColumn(f"seen_{c}", (F.col(f"seen_{c}") > 0).cast("int"))
     spans = {n: (w, F.col("small_online") if n == "small1h" else F.lit(1)) for n, w in SPEEDS.items()}
-    return trailing_totals(line, [CUSTOMER], "TransactionID", "us", spans, force=True)
+    out = trailing_totals(out.filter(real), [CUSTOMER], "TransactionID", "us", spans, source=line.filter(real))
+    return out.drop(*values)
 
 
-def build_features(ledger: DataFrame, closed: DataFrame, members: DataFrame, opened_before: int | None = None,
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+def build_features(ledger: DataFrame, closed: DataFrame, members: DataFrame, opened_before: int | None = None) -> DataFrame:
     labels = label_table(closed, members, opened_before)
     rows = with_cardholder_keys(ledger).join(labels, "TransactionID", "left")
     rows = row_features(rows.withColumn("y", F.col("closed_us").isNotNull().cast("int")))
-    rows = device_use(rows, hot_rows)
-    hot = hot_keys(ledger.select(CUSTOMER), [CUSTOMER], hot_rows)
-    if hot is None:
-        out = _ordinary(rows)
-    else:
-        cold, warm = split_hot(rows, [CUSTOMER], hot)
-        plain = _ordinary(cold)
-        out = plain.unionByName(_sliced(warm).select(*plain.columns))
+    rows = device_use(stored(rows))
+    out = _histories(rows)
     final = {}
     for k in PROFILE_KEYS:
         mean = F.nullif(F.col(f"_sum_{k}") / F.nullif(F.col(f"n_prev_{k}"), F.lit(0)), F.lit(0.0))

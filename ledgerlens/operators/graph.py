@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import device_digest, region_id
 from ..session import checkpointed
-from .skew import HOT_ROWS, running_totals
+from .skew import running_totals
 
 FIRST, LAST = F.min, F.max
 
@@ -50,11 +50,11 @@ def vertices(ledger: DataFrame, closed: DataFrame, cases: DataFrame | None = Non
     return out
 
 
-def next_txn(ledger: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def next_txn(ledger: DataFrame) -> DataFrame:
     """Consecutive rows of a card with the seconds between them."""
     rows = ledger.select("card_id", "TransactionID", "us")
     prev = running_totals(rows, ["card_id"], ["us", "TransactionID"],
-                          {"prev": ("max", F.struct("us", "TransactionID"))}, hot_rows=hot_rows)
+                          {"prev": ("max", F.struct("us", "TransactionID"))})
     return prev.filter(F.col("prev").isNotNull()).select(
         F.col("prev.TransactionID").alias("src"), F.col("TransactionID").alias("dst"),
         ((F.col("us") - F.col("prev.us")) / 1e6).alias("delta_seconds"))
@@ -99,7 +99,7 @@ def case_edges(cases: DataFrame) -> dict[str, DataFrame]:
                 "src", F.col("s.case_id").alias("dst"), F.col("s.score").alias("similarity_score"))}
 
 
-def linked_customers(ledger: DataFrame, keys: dict[str, str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def linked_customers(ledger: DataFrame, keys: dict[str, str]) -> DataFrame:
     """Customers sharing a value, as a chain per value: each one is linked to the next in id order.
 
     A chain carries the same connectivity as all pairs with one edge per member, so a value shared by
@@ -111,7 +111,7 @@ def linked_customers(ledger: DataFrame, keys: dict[str, str], hot_rows: int = HO
     # order by a numeric place of the id: slices of a hot value are ranges of that place
     use = use.withColumn("_place", F.regexp_extract("customer_id", r"(\d+)", 1).cast("bigint"))
     prev = running_totals(use, ["link_type", "link_value"], ["_place", "customer_id"],
-                          {"_prev": ("max", F.struct("_place", "customer_id"))}, hot_rows=hot_rows, slice_width=100_000)
+                          {"_prev": ("max", F.struct("_place", "customer_id"))}, slice_width=100_000)
     return prev.filter(F.col("_prev").isNotNull()).select(F.col("_prev.customer_id").alias("src"),
                                                           F.col("customer_id").alias("dst"), "link_type", "link_value")
 
@@ -151,7 +151,7 @@ def pagerank(edge: DataFrame, iterations: int = 10, damping: float = 0.85, cut_e
     return rank
 
 
-def components(edge: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edge: DataFrame) -> DataFrame:
     """Connected components ``(id, component)`` of an undirected graph, labelled by the smallest id.
 
     Alternates linking every node's larger neighbours to its smallest one and every node to the smallest
@@ -161,7 +161,7 @@ def components(edge: DataFrame, max_rounds: int = 50) -> DataFrame:
     isolated = edge.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     e = checkpointed(e.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -174,7 +174,5 @@ def components(edge: DataFrame, max_rounds: int = 50) -> DataFrame:
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError("components did not settle")
     return isolated.join(e.select(F.col("u").alias("id"), F.col("v").alias("m")), "id", "left").select(
         "id", F.coalesce("m", "id").alias("component"))

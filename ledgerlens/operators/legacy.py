@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, flag
-from .skew import HOT_ROWS, running_totals, top_k
+from .skew import running_totals, top_k
 
 # Base weight per pattern and the boost of each kind of evidence.
 WEIGHTS = {"card_testing": 0.85, "card_not_present_fraud": 0.65, "card_not_present_new_device": 0.75,
@@ -25,7 +25,7 @@ def recent(ledger: DataFrame, n: int, take: str = "last") -> DataFrame:
     return top_k(ledger, ["card_id"], order, n)
 
 
-def card_testing_any_time(ledger: DataFrame, any_small: bool, hot_rows: int = HOT_ROWS) -> DataFrame:
+def card_testing_any_time(ledger: DataFrame, any_small: bool) -> DataFrame:
     """Cards whose first row of at least $50 after small online rows follows two or more of them.
 
     ``any_small``: the search stops at the first large row after *any* small row; otherwise at the first
@@ -34,7 +34,7 @@ def card_testing_any_time(ledger: DataFrame, any_small: bool, hot_rows: int = HO
     small = (F.col("channel") == "online") & (F.col("TransactionAmt") < 5)
     rows = ledger.select("card_id", "us", "TransactionID", "TransactionAmt", flag(small).alias("small"))
     run = running_totals(rows, ["card_id"], ["us", "TransactionID"],
-                         {"before": ("sum", F.col("small")), "paid": ("sum", F.col("TransactionAmt") * F.col("small"))}, hot_rows=hot_rows)
+                         {"before": ("sum", F.col("small")), "paid": ("sum", F.col("TransactionAmt") * F.col("small"))})
     stop = (F.col("small") == 0) & (F.col("TransactionAmt") >= 50) & (F.col("before") >= (1 if any_small else 2))
     first = run.filter(stop).groupBy("card_id").agg(
         F.min(F.struct("us", "TransactionID", "TransactionAmt", "before", "paid")).alias("h"))

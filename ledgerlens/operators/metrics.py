@@ -21,20 +21,20 @@ def _by_score(scored: DataFrame, descending: bool) -> DataFrame:
     g = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).withColumn("_all", F.lit(1))
     g = g.withColumn("_key", -F.col("score") if descending else F.col("score"))
     return running_totals(g, ["_all"], ["_key"], {"n_before": ("sum", F.col("n")), "pos_before": ("sum", F.col("pos"))},
-                          slice_width=0.0005, force=True)
+                          slice_width=0.0005)
 
 
 def ranking(scored: DataFrame) -> DataFrame:
     """ROC-AUC (tied scores share their mean rank), average precision and Brier score. ``score, y``."""
     up = _by_score(scored, descending=False).agg(
         F.sum(F.col("pos") * (F.col("n_before") + (F.col("n") + 1) / 2)).alias("ranks"), F.sum("pos").alias("n1"),
-        F.sum("n").alias("n_all"), F.lit(1).alias("_k"))
+        F.sum("n").alias("n_all"))
     down = _by_score(scored, descending=True).withColumns(
         {"tp": F.col("pos_before") + F.col("pos"), "seen": F.col("n_before") + F.col("n")}).agg(
-        F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("ap_sum"), F.lit(1).alias("_k"))
-    brier = scored.agg(F.avg((F.col("score") - F.col("y")) * (F.col("score") - F.col("y"))).alias("brier"), F.lit(1).alias("_k"))
+        F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("ap_sum"))
+    brier = scored.agg(F.avg((F.col("score") - F.col("y")) * (F.col("score") - F.col("y"))).alias("brier"))
     n1, n0 = F.col("n1"), F.col("n_all") - F.col("n1")
-    return up.join(down, "_k").join(brier, "_k").select(
+    return up.crossJoin(down).crossJoin(brier).select(
         F.col("n_all").alias("n"), n1.alias("n_pos"), ((F.col("ranks") - n1 * (n1 + 1) / 2) / (n1 * n0)).alias("roc_auc"),
         (F.col("ap_sum") / n1).alias("avg_precision"), "brier")
 
@@ -75,8 +75,8 @@ def separation(scored: DataFrame) -> DataFrame:
 
 def balanced(cases: DataFrame) -> DataFrame:
     """Add ``w``: class weights that give each class half of the total."""
-    tot = cases.agg(F.avg("y").alias("_rate"), F.lit(1).alias("_k"))
-    j = cases.withColumn("_k", F.lit(1)).join(tot, "_k").drop("_k")
+    tot = cases.agg(F.avg("y").alias("_rate"))
+    j = cases.crossJoin(tot)      # one row
     return j.withColumn("w", F.when(F.col("y") == 1, 0.5 / F.col("_rate")).otherwise(0.5 / (1 - F.col("_rate")))).drop("_rate")
 
 
@@ -162,10 +162,9 @@ def backtest(cases: DataFrame) -> DataFrame:
         F.round(F.avg(F.when(found, c("jaccard"))), 4).alias("mean_jaccard"), rate(c("jaccard") == 1, found).alias("exact_match"),
         rate(near, found).alias("exposure_within_10pct"), rate(c("pred_pattern") == c("pattern"), called).alias("pattern_accuracy"),
         rate(c("blocked"), y0).alias("block_rate_cleared"), rate(c("blocked"), y1).alias("block_rate_confirmed"),
-        rate(c("sar") == c("true_sar"), y1).alias("sar_agreement"), rate(c("asked"), F.lit(True)).alias("request_rate"),
-        F.lit(1).alias("_k"))
-    auc = ranking(cases.select(c("p").alias("score"), "y")).select(F.round("roc_auc", 4).alias("roc_auc"), F.lit(1).alias("_k"))
-    return one.join(auc, "_k").drop("_k")
+        rate(c("sar") == c("true_sar"), y1).alias("sar_agreement"), rate(c("asked"), F.lit(True)).alias("request_rate"))
+    auc = ranking(cases.select(c("p").alias("score"), "y")).select(F.round("roc_auc", 4).alias("roc_auc"))
+    return one.crossJoin(auc)
 
 
 def run_summary(answers: DataFrame) -> DataFrame:
@@ -183,6 +182,6 @@ def run_summary(answers: DataFrame) -> DataFrame:
 def suspect_counters(answers: DataFrame) -> DataFrame:
     """Cases whose counter is zero or equals the value most often repeated (the smallest on a tie)."""
     g = answers.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2)
-    frozen = g.agg(F.min_by("tokens", F.struct(-F.col("n"), "tokens")).alias("frozen"), F.lit(1).alias("_k"))
-    j = answers.withColumn("_k", F.lit(1)).join(frozen, "_k", "left")
+    frozen = g.agg(F.min_by("tokens", F.struct(-F.col("n"), "tokens")).alias("frozen"))
+    j = answers.crossJoin(frozen)      # one row, null when no counter repeats
     return j.filter((F.col("tokens") == 0) | (F.col("tokens") == F.col("frozen"))).select("case_id", "tokens")

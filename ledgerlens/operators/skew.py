@@ -1,9 +1,8 @@
 """Skew-safe building blocks: running totals, band joins and window summaries.
 
-One customer, card or device may hold a third of the ledger. A plain window partitioned by such a
-key would put all its rows into one task, so keys above ``hot_rows`` rows are cut into time slices:
-each slice is windowed on its own and then lifted by the totals of the slices before it, which come
-from a small pre-aggregated table. Ordinary keys keep the single-shuffle plan.
+One customer, card or device may hold a third of the ledger. A window partitioned by such a key would put all its rows
+into one task, so every key is cut into time slices: each slice is windowed on its own and then lifted by the totals of
+the slices before it, which come from a table aggregated per slice. All keys take this one path.
 """
 from __future__ import annotations
 
@@ -13,23 +12,9 @@ from pyspark.sql import functions as F
 
 from ..params import DAY, HOUR
 
-HOT_ROWS = 1_000_000
 _MERGE = {"count": F.sum, "sum": F.sum, "max": F.max, "min": F.min}
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows, or None when there are none.
-
-    The counts are combined map-side and at most ``rows / hot_rows`` keys can pass the filter.
-    """
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*keys)
-    return None if hot.isEmpty() else hot
-
-
-def split_hot(df: DataFrame, keys: list[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
-
-
 def _combine(kind: str, inside: Column, before: Column) -> Column:
     if kind in ("count", "sum"):
         return F.coalesce(inside, F.lit(0)) + F.coalesce(before, F.lit(0))
@@ -41,90 +26,57 @@ def _aggregate(kind: str, value: Column) -> Column:
 
 
 def running_totals(df: DataFrame, keys: list[str], order: list[str], totals: dict[str, tuple[str, Column]],
-                   hot_rows: int = HOT_ROWS, slice_width: int = HOUR, hot: DataFrame | None = None,
-                   check: bool = True, force: bool = False) -> DataFrame:
+                   slice_width: float = HOUR, source: DataFrame | None = None) -> DataFrame:
     """Add totals over the strictly earlier rows of the same key.
 
+    ``source``: a stored table with the same rows, from which the totals per slice are taken. Steps that follow one
+    another need it, as each would otherwise repeat all before it.
+
     ``order[0]`` must be a numeric time column; the rest break ties. ``totals`` maps a new column to
     ``(kind, value)`` with kind count, sum, max or min. Sums and counts are 0 on a key's first row,
-    max and min are null there. ``force`` slices every key (used for rows already known to be hot).
+    max and min are null there.
     """
-    if hot is None and check and not force:
-        hot = hot_keys(df, keys, hot_rows)
-
-    def windowed(rows: DataFrame, part: list[str]) -> DataFrame:
-        w = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-        out = {n: _aggregate(k, v).over(w) for n, (k, v) in totals.items()}
-        return rows.withColumns({n: F.coalesce(c, F.lit(0)) if totals[n][0] in ("count", "sum") else c
-                                 for n, c in out.items()})
-
-    def sliced(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("_slice", F.floor(F.col(order[0]) / F.lit(slice_width)))
-        part = keys + ["_slice"]
-        per_slice = rows.groupBy(*part).agg(*[_aggregate(k, v).alias(f"_p_{n}") for n, (k, v) in totals.items()])
-        earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-        before = per_slice.select(*part, *[_MERGE[k](F.col(f"_p_{n}")).over(earlier).alias(f"_b_{n}")
-                                           for n, (k, _) in totals.items()])
-        lifted = windowed(rows, part).join(before, part, "left")
-        return lifted.withColumns({n: _combine(k, F.col(n), F.col(f"_b_{n}")) for n, (k, _) in totals.items()}
-                                  ).select(*df.columns, *totals)
-
-    if force:
-        return sliced(df)
-    if hot is None:
-        return windowed(df, keys)
-    cold, warm = split_hot(df, keys, hot)
-    return windowed(cold, keys).select(*df.columns, *totals).unionByName(sliced(warm))
-
-
-def trailing_totals(df: DataFrame, keys: list[str], row_id: str, us: str,
-                    spans: dict[str, tuple[int, Column]], hot_rows: int = HOT_ROWS, hot: DataFrame | None = None,
-                    check: bool = True, force: bool = False) -> DataFrame:
+    # a null key is a key of its own; without nulls one exchange serves both the windows and the join
+    ids = [f"_key{i}" for i in range(len(keys))]
+    marks = {i: F.coalesce(F.col(k).cast("string"), F.lit("\0")) for i, k in zip(ids, keys, strict=True)}
+    marks["_slice"] = F.floor(F.col(order[0]) / F.lit(slice_width))
+    rows = df.withColumns(marks)
+    part = [*ids, "_slice"]
+    w = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    inside = rows.withColumns({n: _aggregate(k, v).over(w) for n, (k, v) in totals.items()})
+    per_slice = (rows if source is None else source.withColumns(marks)).groupBy(*part).agg(*[_aggregate(k, v).alias(f"_p_{n}") for n, (k, v) in totals.items()])
+    earlier = W.partitionBy(*ids).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    before = per_slice.select(*part, *[_MERGE[k](F.col(f"_p_{n}")).over(earlier).alias(f"_b_{n}") for n, (k, _) in totals.items()])
+    lifted = inside.join(before, part, "left")
+    return lifted.withColumns({n: _combine(k, F.col(n), F.col(f"_b_{n}")) for n, (k, _) in totals.items()}).select(*df.columns, *totals)
+
+
+def trailing_totals(df: DataFrame, keys: list[str], row_id: str, us: str, spans: dict[str, tuple[int, Column]],
+                    source: DataFrame | None = None) -> DataFrame:
     """Add the total of a value over the rows in ``(t - width, t]``, the row included.
 
     Each span is the cumulative total at the row less the cumulative total at ``t - width``, so the
-    work per row does not depend on how many rows the span holds. Hot keys look the second total up
-    with a probe record at ``t - width``, because it may lie in another slice.
+    work per row does not depend on how many rows the span holds. The second total is looked up with
+    a probe record at ``t - width``, because it may lie in another slice.
     """
-    if hot is None and check and not force:
-        hot = hot_keys(df, keys, hot_rows)
-
-    def windowed(rows: DataFrame) -> DataFrame:
-        here = W.partitionBy(*keys).orderBy(us, row_id).rowsBetween(W.unboundedPreceding, 0)
-        return rows.withColumns({
-            n: F.sum(v).over(here) - F.coalesce(F.sum(v).over(
-                W.partitionBy(*keys).orderBy(us).rangeBetween(W.unboundedPreceding, -w)), F.lit(0))
-            for n, (w, v) in spans.items()})
-
-    def probed(rows: DataFrame) -> DataFrame:
-        widths = sorted({w for w, _ in spans.values()})
-        values = rows.select(*keys, row_id, us, *[v.alias(f"_v_{n}") for n, (_, v) in spans.items()])
-        marks = values.withColumn("_w", F.explode(F.array(F.lit(0), *[F.lit(w) for w in widths])))
-        marks = marks.withColumns({"_at": F.col(us) - F.col("_w"), "_kind": F.when(F.col("_w") == 0, 0).otherwise(1)})
-        real = F.col("_kind") == 0
-        run = running_totals(marks, keys, ["_at", "_kind", row_id],
-                             {f"_c_{n}": ("sum", F.when(real, F.col(f"_v_{n}"))) for n in spans}, force=True)
-        at_row = {n: F.max(F.when(real, F.col(f"_c_{n}") + F.col(f"_v_{n}"))) for n in spans}
-        at_start = {n: F.max(F.when(F.col("_w") == w, F.col(f"_c_{n}"))) for n, (w, _) in spans.items()}
-        return rows.join(run.groupBy(row_id).agg(*[(at_row[n] - at_start[n]).alias(n) for n in spans]), row_id)
-
-    if force:
-        return probed(df)
-    if hot is None:
-        return windowed(df)
-    cold, warm = split_hot(df, keys, hot)
-    cols = [*df.columns, *spans]
-    return windowed(cold).select(*cols).unionByName(probed(warm).select(*cols))
-
-
-def islands(df: DataFrame, keys: list[str], gap: int, row_id: str = "TransactionID", us: str = "us",
-            hot_rows: int = HOT_ROWS) -> DataFrame:
+    widths = sorted({w for w, _ in spans.values()})
+    values = (df if source is None else source).select(*keys, row_id, us, *[v.alias(f"_v_{n}") for n, (_, v) in spans.items()])
+    marks = values.withColumn("_w", F.explode(F.array(F.lit(0), *[F.lit(w) for w in widths])))
+    marks = marks.withColumns({"_at": F.col(us) - F.col("_w"), "_kind": F.when(F.col("_w") == 0, 0).otherwise(1)})
+    real = F.col("_kind") == 0
+    run = running_totals(marks, keys, ["_at", "_kind", row_id],
+                         {f"_c_{n}": ("sum", F.when(real, F.col(f"_v_{n}"))) for n in spans})
+    at_row = {n: F.max(F.when(real, F.col(f"_c_{n}") + F.col(f"_v_{n}"))) for n in spans}
+    at_start = {n: F.max(F.when(F.col("_w") == w, F.col(f"_c_{n}"))) for n, (w, _) in spans.items()}
+    return df.join(run.groupBy(row_id).agg(*[(at_row[n] - at_start[n]).alias(n) for n in spans]), row_id)
+
+
+def islands(df: DataFrame, keys: list[str], gap: int, row_id: str = "TransactionID", us: str = "us") -> DataFrame:
     """Number each key's chains of rows whose consecutive gaps are at most ``gap``."""
-    hot = hot_keys(df.select(*keys), keys, hot_rows)
     order = [us, row_id]
-    a = running_totals(df, keys, order, {"_prev": ("max", F.col(us))}, hot=hot, check=False)
+    a = running_totals(df, keys, order, {"_prev": ("max", F.col(us))})
     a = a.withColumn("_new", F.when(F.col(us) - F.col("_prev") <= gap, 0).otherwise(1))
-    b = running_totals(a, keys, order, {"_before": ("sum", F.col("_new"))}, hot=hot, check=False)
+    b = running_totals(a, keys, order, {"_before": ("sum", F.col("_new"))})
     return b.withColumn("island", F.col("_before") + F.col("_new")).drop("_prev", "_new", "_before")
 
 

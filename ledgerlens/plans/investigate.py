@@ -146,16 +146,19 @@ def precedents(x: Inputs, d: dict[str, DataFrame], c: DataFrame) -> tuple[DataFr
     """Ranked precedent candidates per case, and the pattern probabilities of its episode.
 
     ``(case_id, closed_case, source, place, outcome)`` with source 1 graph link, 2 ring, 3 nearest,
-    4 nearest cleared.
+    4 nearest cleared, 5 cleared graph link.
     """
     bounds = c.select("case_id", (F.col("flag_us") - x.params.baseline_us).alias("hist_from"), F.col("flag_us").alias("hist_to"))
     feats = checkpointed(memory.episode_features(d["episode"], x.scored, bounds=bounds))
     a = c.select("case_id", "customer_id", F.col("opened_us").alias("as_of"))
     links = memory.graph_links(a, d["episode"].select("case_id", "uid").distinct(), d["episode"].select("case_id", "card_id").distinct(),
                                d["devices"], x.index, x.keys)
-    links = top_k(links, ["case_id"], ["link_rank", "closed_case"], 3, "place")
-    links_cleared = links.filter(F.col("outcome") == "cleared")
-    ringed = top_k(d["ring_precedents"], ["case_id"], ["closed_case"], 4, "place").join(
+    found = checkpointed(links)
+    links = top_k(found, ["case_id"], ["link_rank", "closed_case"], 3, "place")
+    # for a legitimate verdict the first cleared ones of all links count, wherever they stand
+    links_cleared = top_k(found.filter(F.col("outcome") == "cleared"), ["case_id"], ["link_rank", "closed_case"], 2, "place")
+    # cases of the device ring come first, then those of the structuring ring's shape; four in all
+    ringed = top_k(ring_cases(x, d, a), ["case_id"], ["kind", "since", "closed_case"], 4, "place").join(
         x.closed.select(F.col("case_id").alias("closed_case"), "outcome"), "closed_case")
     stats = memory.moments(x.index)
     q = memory.standardise(feats, stats).select(F.col("case_id").alias("query_id"), "v").join(a.select(F.col("case_id").alias("query_id"), "as_of"), "query_id")
@@ -167,12 +170,25 @@ def precedents(x: Inputs, d: dict[str, DataFrame], c: DataFrame) -> tuple[DataFr
         out = near if out is None else out.unionByName(near)
     out = out.join(x.index.select(F.col("case_id").alias("closed_case"), "outcome"), "closed_case")
     listed = (links.select("case_id", "closed_case", F.lit(1).alias("source"), "place", F.lit(0.0).alias("distance"), "outcome")
+              .unionByName(links_cleared.select("case_id", "closed_case", F.lit(5).alias("source"), "place", F.lit(0.0).alias("distance"), "outcome"))
               .unionByName(ringed.select("case_id", "closed_case", F.lit(2).alias("source"), "place", F.lit(0.0).alias("distance"), "outcome"))
               .unionByName(out.select("case_id", "closed_case", "source", "place", "distance", "outcome")))
     probs = x.pattern_p(feats) if x.pattern_p is not None else rule_probabilities(feats)
     return checkpointed(listed), checkpointed(probs)
 
 
+def ring_cases(x: Inputs, d: dict[str, DataFrame], asked: DataFrame) -> DataFrame:
+    """``(case_id, closed_case, kind, since)``: closed cases on the ring's device (kind 0), and those of the structuring
+    shape closed before the alert was opened (kind 1), for alerts with such a ring."""
+    device = d["ring_precedents"].select("case_id", "closed_case", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("since"))
+    shape = rings.structuring_precedents(x.closed).select(F.explode("precedents").alias("e")).select(
+        F.col("e.case_id").alias("closed_case"), F.lit(1).alias("kind"), F.col("e.closed_us").alias("since"))
+    hit = d["structuring_cards"].select("case_id").distinct().join(asked.select("case_id", "as_of"), "case_id")
+    # at most four cases of the shape, so this stays four rows an alert
+    shape = hit.crossJoin(shape).filter(F.col("since") < F.col("as_of")).select("case_id", "closed_case", "kind", "since")
+    return device.unionByName(shape).groupBy("case_id", "closed_case").agg(F.min("kind").alias("kind"), F.min("since").alias("since"))
+
+
 def rule_probabilities(feats: DataFrame) -> DataFrame:
     """Stand-in class probabilities from episode shares, used where no pattern model is given."""
     c = F.col
@@ -269,15 +285,17 @@ def run_rounds(x: Inputs, c: DataFrame, d: dict[str, DataFrame]) -> DataFrame:
 
 
 def choose_precedents(c: DataFrame, listed: DataFrame) -> DataFrame:
-    """Up to six precedents: links and ring cases first, then neighbours of the outcome concluded."""
+    """Links and ring cases first; neighbours of the outcome concluded fill the list up to six.
+
+    A legitimate verdict starts from the first two cleared links instead."""
     j = listed.join(c.select("case_id", "verdict"), "case_id")
     legit, cleared = F.col("verdict") == "legitimate", F.col("outcome") == "cleared"
-    order = (F.when(legit, F.when((F.col("source") == 1) & cleared & (F.col("place") <= 2), 1).when(F.col("source") == 4, 2)
-                    .when((F.col("source") == 3) & cleared, 3))
-             .otherwise(F.when(F.col("source") == 1, 1).when(F.col("source") == 2, 2)
-                        .when((F.col("source") == 3) & (F.col("outcome") == "confirmed_fraud"), 3)))
+    source = F.col("source")
+    order = (F.when(legit, F.when(source == 5, 1).when(source == 4, 3).when((source == 3) & cleared, 4))
+             .otherwise(F.when(source == 1, 1).when(source == 2, 2).when((source == 3) & (F.col("outcome") == "confirmed_fraud"), 3)))
     best = j.withColumn("o", order).filter(F.col("o").isNotNull()).groupBy("case_id", "closed_case").agg(F.min(F.struct("o", "place")).alias("o"))
-    kept = top_k(best, ["case_id"], ["o", "closed_case"], 6)
+    # links and ring cases are at most seven, and all stay
+    kept = top_k(best, ["case_id"], ["o", "closed_case"], 7).filter((F.col("rank") <= 6) | (F.col("o.o") <= 2))
     return kept.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "closed_case"))), lambda s: s["closed_case"])
                                        .alias("similar_prior_cases"))
 

@@ -8,17 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(cores: str = "*", name: str = "ledgerlens") -> SparkSession:
-    """A local session with the settings the operators are tuned for."""
-    spark = (SparkSession.builder.master(f"local[{cores}]").appName(name)
+def build_session(cores: str = "*", name: str = "ledgerlens", partitions: int | None = None) -> SparkSession:
+    """A local session. ``partitions``: shuffle partitions for small data; by default Spark's own setting counts."""
+    builder = (SparkSession.builder.master(f"local[{cores}]").appName(name)
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.adaptive.skewJoin.enabled", "true")
-             .config("spark.sql.shuffle.partitions", "8")
              .config("spark.driver.memory", os.environ.get("LEDGERLENS_MEMORY", "12g"))
              .config("spark.ui.enabled", "false")
-             .config("spark.ui.showConsoleProgress", "false")
-             .getOrCreate())
+             .config("spark.ui.showConsoleProgress", "false"))
+    if partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -43,6 +44,14 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/ledgerlens-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back, for tables that several steps use."""
+    spark = df.sparkSession
+    path = new_folder(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through reliable storage."""
     sc = df.sparkSession.sparkContext

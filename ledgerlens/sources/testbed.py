@@ -4,12 +4,15 @@ The mapping is deterministic so that each operator can be checked by an independ
 """
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import code_text, device_key, micros
 from ..operators.skew import islands
 from ..params import DAY, HOUR
+from ..session import stored
 from .ledger import number_cards
 
 START_US = 1_704_067_200 * 1_000_000   # 2024-01-01, the first day of the events table
@@ -40,7 +43,7 @@ def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("event_type") == "view", "H").when(F.col("event_type") == "signup", "R")
          .otherwise("S").alias("ProductCD"),
         F.when(online, "online").otherwise("in_person").alias("channel"),
-        F.concat(F.lit("C"), F.lpad(F.col("user_id").cast("string"), 5, "0")).alias("customer_id"),
+        F.concat(F.lit("C"), F.expr("lpad(cast(user_id as string), greatest(5, length(cast(user_id as string))), '0')")).alias("customer_id"),
         (k % 2).cast("string").alias("card2"),
         F.when(k % 5 == 0, " debit").otherwise("credit ").alias("card6"),
         F.least(F.lit(1.0), F.col("value") / 100).alias("risk_score"),
@@ -78,9 +81,9 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_cards(raw, ["card2", "card6"]).drop("card2", "card6")
 
 
-def case_rows(led: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
+def case_rows(led: DataFrame) -> DataFrame:
     """``error`` rows with the case they belong to: chains of one customer with gaps of at most 48 h."""
-    return islands(led.filter(F.col("ProductCD") == "S"), ["customer_id"], 48 * HOUR, hot_rows=hot_rows)
+    return islands(led.filter(F.col("ProductCD") == "S"), ["customer_id"], 48 * HOUR)
 
 
 def closed_cases(rows: DataFrame) -> DataFrame:
@@ -129,28 +132,27 @@ def alerts(led: DataFrame) -> DataFrame:
 
 
 class Bank:
-    """The derived tables of one scale-factor folder."""
+    """The derived tables of one scale-factor folder, each written once and read from then on."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.ledger = ledger(spark, sf_dir)
 
-    @property
+    @cached_property
+    def ledger(self) -> DataFrame:
+        return stored(ledger(self.spark, self.sf_dir))
+
+    @cached_property
     def case_rows(self) -> DataFrame:
-        if not hasattr(self, "_rows"):
-            self._rows = case_rows(self.ledger)
-        return self._rows
+        return stored(case_rows(self.ledger))
 
-    @property
+    @cached_property
     def closed(self) -> DataFrame:
-        if not hasattr(self, "_closed"):
-            self._closed = closed_cases(self.case_rows)
-        return self._closed
+        return stored(closed_cases(self.case_rows))
 
-    @property
+    @cached_property
     def case_txns(self) -> DataFrame:
-        return case_txns(self.case_rows, self.closed)
+        return stored(case_txns(self.case_rows, self.closed))
 
-    @property
+    @cached_property
     def alerts(self) -> DataFrame:
-        return alerts(self.ledger)
+        return stored(alerts(self.ledger))
