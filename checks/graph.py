@@ -118,13 +118,13 @@ def edge_linked_customer(spark, sf):
     return G.linked_customers(Bank(spark, sf).ledger, {"device": "device_profile_id", "email": "R_emaildomain"})
 
 
-@query("graph_neighbors", led("SELECT device_profile_id AS id, TransactionID AS neighbor FROM ledger JOIN (SELECT device_profile_id FROM ledger "
-                              "WHERE device_profile_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 80) USING (device_profile_id)"))
+@query("graph_neighbors", led_alerts("SELECT device_profile_id AS id, TransactionID AS neighbor FROM ledger JOIN (SELECT DISTINCT device_profile_id "
+                                     "FROM ledger JOIN alerts ON TransactionID = flagged_txn_id) USING (device_profile_id)"))
 def graph_neighbors(spark, sf):
     b = Bank(spark, sf)
     e = G.edges(b.ledger, b.closed, b.case_txns)["FROM_DEVICE"]
-    busy = e.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 80).select(F.col("dst").alias("id"))
-    return G.neighbors(e, busy, reverse=True).select("id", "neighbor")
+    flagged = b.alerts.select(F.col("flagged_txn_id").alias("src"))
+    return G.neighbors(e, e.join(flagged, "src", "left_semi").select(F.col("dst").alias("id")), reverse=True).select("id", "neighbor")
 
 
 ROUNDS = 3

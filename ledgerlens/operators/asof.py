@@ -193,7 +193,7 @@ def velocity(ledger: DataFrame, hours: int = 24) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("TransactionAmt").alias("total"), F.avg("TransactionAmt").alias("avg_amount"))
 
 
-def earlier_investigations(alerts: DataFrame, devices: DataFrame, memory: DataFrame) -> DataFrame:
+def earlier_investigations(alerts: DataFrame, devices: DataFrame, memory: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Earlier cases sharing a card, a specific device or the customer, with the reason text.
 
     ``alerts``: ``case_id, customer_id, cards``; ``devices``: ``case_id, device_profile_id`` (specific
@@ -203,7 +203,7 @@ def earlier_investigations(alerts: DataFrame, devices: DataFrame, memory: DataFr
                       "cards", "devices")
     by_card = (alerts.select("case_id", F.explode("cards").alias("card_id"))
                .join(m.select("earlier_id", F.explode("cards").alias("card_id")), "card_id")
-               .groupBy("case_id", "earlier_id").agg(F.slice(F.array_sort(F.collect_set("card_id")), 1, 3).alias("shared"))
+               .groupBy("case_id", "earlier_id").agg(F.slice(F.array_sort(F.collect_set("card_id")), 1, params.shown_shared).alias("shared"))
                .select("case_id", "earlier_id", F.lit(1).alias("rank"),
                        F.concat(F.lit("card "), F.array_join("shared", ", ")).alias("why")))
     by_device = (devices.join(m.select("earlier_id", F.explode("devices").alias("device_profile_id")), "device_profile_id")

@@ -66,6 +66,11 @@ class Params:
     # monitor
     monitor_top: int = 10
     monitor_min_score: float = 0.05
+    # how many of a list a document shows; the tables keep all
+    shown_sweep_cards: int = 12
+    shown_ring_cards: int = 15
+    shown_devices: int = 3
+    shown_shared: int = 3
 
 
 DEFAULT = Params()

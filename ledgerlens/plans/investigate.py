@@ -323,7 +323,7 @@ def _say(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def evidence(c) -> Column:
+def evidence(c, params: Params = DEFAULT) -> Column:
     """Evidence claims as structs; a claim whose condition fails is left out."""
     none = F.array().cast("array<string>")
     item = lambda claim, ref, ids, source="graph": F.struct(claim.alias("claim"), F.lit(source).alias("source"), ref.alias("ref"), ids.alias("entity_ids"))
@@ -347,10 +347,10 @@ def evidence(c) -> Column:
         F.when(c("st_n").isNotNull(), item(_say(c("st_n").cast("string"), " online purchases within ", F.format_string("%.0f", "st_span"), " minutes, each between ",
                                                 money(c("st_low")), " and ", money(c("st_high"))), _say("query:structuring_scan(card_id=", c("st_card"), ")"), F.array("st_card"))),
         F.when(c("sr_cards").isNotNull(), item(_say("The same burst appears on ", c("sr_cards").cast("string"), " cards in the prior 30 days"),
-                                               F.lit("query:population_structuring_sweep(days=30)"), F.slice("ring_cards", 1, 12))),
+                                               F.lit("query:population_structuring_sweep(days=30)"), F.slice("ring_cards", 1, params.shown_sweep_cards))),
         F.when(c("ring_device").isNotNull(), item(_say("Device profile ", device_label(c("ring_device")), " (", c("ring_anomaly"), ") was used on ",
                                                        c("ring_n_cards").cast("string"), " cards of ", c("ring_customers").cast("string"), " customers in the prior 30 days"),
-                                                  F.lit("query:device_neighbors(days=30)"), F.slice("ring_cards", 1, 15))),
+                                                  F.lit("query:device_neighbors(days=30)"), F.slice("ring_cards", 1, params.shown_ring_cards))),
         F.when(c("n_tests").isNotNull(), item(_say(c("n_tests").cast("string"), " small online authorizations close together on ", c("ct_card"), ", then ", money(c("purchase_amt"))),
                                               _say("query:card_testing_scan(card_id=", c("ct_card"), ")"), F.array("ct_card"))),
         F.when(c("n_recurring").isNotNull(), item(_say(c("n_recurring").cast("string"), " earlier monthly charges of the same product and amount by this cardholder"),
@@ -393,7 +393,7 @@ def answers(cases: DataFrame, params: Params = DEFAULT) -> DataFrame:
                                       money(c("exposure")), " were made on card(s) ", F.array_join("own_cards", ", "), " belonging to customer ", c("customer_id"), "."),
                             _say("The activity comprised ", C.channel_mix(c("n_online"), c("n_rows") - c("n_online")), " transaction(s) under product code(s) ",
                                  F.array_join("products", ", "), ", in ", C.region_text(c("regions")), "."),
-                            F.when(F.size("ep_devices") > 0, _say("Online transactions came from device profile(s) ", F.array_join(F.transform(F.slice("ep_devices", 1, 3), device_label), "; "), ".")),
+                            F.when(F.size("ep_devices") > 0, _say("Online transactions came from device profile(s) ", F.array_join(F.transform(F.slice("ep_devices", 1, params.shown_devices), device_label), "; "), ".")),
                             F.when(c("response").isNotNull(), _say(reply_text, ".")), _say("The pattern is named ", F.element_at(prose, c("pattern1")), "."),
                             _say("The assessed probability is ", F.format_string("%.0f", c("p1") * 100), " percent."),
                             _say("Total suspicious amount: ", money(c("exposure")), "."), _say("Actions recommended: ", F.array_join(policy.action_names(c("final")), ", "), "."))
@@ -413,7 +413,7 @@ def answers(cases: DataFrame, params: Params = DEFAULT) -> DataFrame:
         c("status"), c("verdict"), F.round("p1", 2).alias("fraud_probability"), c("pattern1").alias("pattern"),
         F.when(c("pattern1") == "undocumented", described).otherwise("").alias("pattern_description"), aff.alias("affected_txn_ids"),
         F.when(legit, "").otherwise(c("first_id")).alias("first_suspicious_txn_id"), c("connected_card_ids"), devs.alias("connected_device_profiles"),
-        c("exposure").alias("exposure_usd"), evidence(c).alias("evidence"), c("similar_prior_cases"), summary.alias("summary"),
+        c("exposure").alias("exposure_usd"), evidence(c, params).alias("evidence"), c("similar_prior_cases"), summary.alias("summary"),
         F.lit(False).alias("written_to_graph"), F.lit("").alias("graph_case_id"))
     return cases.select(
         "case_id", case.alias("case"), F.when(asked, F.array(request)).otherwise(F.array().cast("array<struct<type:string,asked_after_step:int,assumed_response:string>>")).alias("evidence_requests"),

@@ -65,11 +65,10 @@ def finish_ledger(df: DataFrame) -> DataFrame:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """True when something can be read at ``path`` (any file system Spark knows)."""
-    try:
-        return not spark.read.format("binaryFile").load(path).select("path").isEmpty()
-    except Exception:  # noqa: BLE001 - Spark reports a missing path as an analysis error
-        return False
+    """True when a path or pattern matches something (any file system Spark knows); other errors are raised."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return found is not None and len(found) > 0
 
 
 def build_store(spark: SparkSession, folder: str, out: str, force: bool = False,
