@@ -155,3 +155,23 @@ def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document keeps once the 50-byte strings of earlier documents are taken out."""
     return suffix_dedup.summary(suffix_dedup.repeated_ranges(base.read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+SQL["op7_suffix_dedup"] = """
+WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+windows AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(0, greatest(n - 49, 0))) AS i FROM raw)),
+firsts AS (SELECT s, min(doc_id) AS first_id FROM windows GROUP BY s),
+hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (s) WHERE first_id < doc_id),
+marked AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hits),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans
+  UNION ALL SELECT doc_id, n + 1, n + 1, coalesce((SELECT max(b) FROM spans s WHERE s.doc_id = raw.doc_id), 0) FROM raw),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * since + 1, 2 * (least(a, n) - since)), '' ORDER BY a) AS left_over
+         FROM pieces JOIN raw USING (doc_id) GROUP BY doc_id),
+lost AS (SELECT doc_id, sum(b - a) AS bytes, count(*) AS runs FROM spans GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(bytes, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_spans,
+       sha256(unhex(left_over)) AS kept_sha256
+FROM raw JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""
