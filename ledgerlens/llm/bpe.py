@@ -22,6 +22,7 @@ from .hashing import slices, text_bytes
 KNOWN = 350_000      # encoded words that a task remembers before it starts afresh
 LONG = 200           # bytes from which equal pairs of a word are contracted together
 CHUNK = 20_000       # words encoded by one query
+TOGETHER = 2_000_000  # bytes of text whose new words are encoded together
 STEPS = 48           # contractions in one recursive query; unfinished words go on in the next
 
 
@@ -182,7 +183,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "tex
         for batch in batches:
             column = batch.column(at).fill_null("")
             _, starts = text_bytes(column)
-            out = [row for a, b in slices(starts) for row in encoder.texts(column.slice(a, b - a).to_pylist(), find)]
+            out = [row for a, b in slices(starts, TOGETHER) for row in encoder.texts(column.slice(a, b - a).to_pylist(), find)]
             n, ids, plain = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in kept), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(plain, pa.string())],

@@ -47,7 +47,7 @@ def token_runs(docs: DataFrame, tokenizer_path: str, ranks_path: str, pattern: s
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
-        exact = Tokenizer.from_str(files.value[0])
+        exact = None            # few texts need it, and it is large
         known = {base64.b64decode(a): int(b) for a, b in (line.split() for line in files.value[1].splitlines())}
         quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens={})
         for batch in batches:
@@ -57,6 +57,7 @@ def token_runs(docs: DataFrame, tokenizer_path: str, ranks_path: str, pattern: s
             for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 text = text.as_py() or ""
                 if far[i + 1] > far[i] or "<|" in text:
+                    exact = exact or Tokenizer.from_str(files.value[0])
                     ids = exact.encode(text, add_special_tokens=False).ids
                 else:
                     ids = quick.encode_ordinary(text)
