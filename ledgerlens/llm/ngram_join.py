@@ -18,6 +18,9 @@ different components. So a large group of near copies costs a few pairs for each
 the components is left out. Candidates first meet as bit maps of their sets (four bits a token or more), whose difference bounds
 the overlap from above; the pairs that are left are verified on the full sets: the sets of a hub's partners are sent
 to the hub in groups of bounded size.
+
+That finds the components. All links lie inside them, so the whole join (``linked_pairs``, ``link_counts``) compares
+every pair of a component's distinct sets of suitable sizes, in tasks of two blocks of members with their full sets.
 """
 from __future__ import annotations
 
@@ -42,6 +45,7 @@ PROBES = 4           # members of a list's largest component that meet all other
 TURNS = 2            # times that other ones do
 GROUP = 256          # partners verified against one copy of a hub's set
 BLOCK = 1024         # members of a long posting list that meet another block in one task
+TOKENS = 1 << 20     # tokens of such a block where whole sets are compared
 ZONE = 64            # sizes below it are indexed by single tokens only; zones grow by four
 
 
@@ -295,14 +299,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int,
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = docs.join(nodes.join(ends, "node").select("doc_id").distinct(), "doc_id", "left_semi")
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        for batch in batches:
-            for _, s in shingle_sets(batch.column(0), powers, words):
-                yield pa.RecordBatch.from_arrays([pa.array([int(mix(s).sum().astype(np.int64))], pa.int64()),
-                                                  pa.array([s.tobytes()], pa.binary())], ["node", "tokens"])
-
-    sets = stored(texts.select("text").mapInArrow(build, "node long, tokens binary"))
+    sets = stored(token_sets(texts, words))
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
     hubs = salts.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
                         F.lit(0).alias("role"))
@@ -416,20 +413,15 @@ def contracted(links: DataFrame) -> DataFrame:
     return stored(links.repartition(max(1, -(-links.count() // EDGES))).mapInArrow(run, "src long, dst long"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row: its set size and the smallest id reachable over links.
-
-    Two rows link when ``100 * intersection >= percent * union`` of their sets of distinct ``words``-word shingles of
-    lower-cased (A-Z) words. Fewer words make one shingle of the whole sequence. Rows without words or text have an
-    empty set and link with nothing; rows without an id link with nothing and have a null component. Rows that share
-    an id are compared each on its own. Other columns are ignored. Sets are compared as 64-bit shingle hashes.
-    """
+def grouped(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """One row per row of ``docs (doc_id, text)`` with ``n, node``, and the distinct sets with a document, the number of
+    rows that have them and their component ``(node, n, doc_id, copies, component)``."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     told = stored(describe(docs, words))
     rows = told.filter("kind = 0").select("doc_id", "n", "node", F.col("blob").alias("bits"))
     linked = rows.filter("doc_id is not null and n > 0")
-    nodes = stored(linked.groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.min("bits").alias("bits")))
+    nodes = stored(linked.groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.min("bits").alias("bits"),
+                                                   F.count(F.lit(1)).alias("copies")))
     tokens = rows.agg(F.sum("n")).first()[0] or 0
     classes = spark.sparkContext.broadcast(frequency_classes(told, tokens))
 
@@ -447,11 +439,122 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, id_c
             links = contracted(links.unionByName(verified(more, docs, nodes, percent, words)))
             labels = components(links)
             pairs = pairs.unionByName(more)
+    placed = nodes.join(labels, nodes.node == labels.id, "left").select("node", "n", "doc_id", "copies",
+                                                                        F.coalesce("component", "node").alias("component"))
+    return rows, stored(placed)
+
+
+def cells(docs: DataFrame, placed: DataFrame, words: int) -> DataFrame:
+    """Members of the components of more than one set, with their tokens, for every pair ``i <= j`` of the component's blocks."""
+    size = placed.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")).filter("m > 1")
+    size = size.select("component", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("all") / TOKENS)).cast("int").alias("blocks"))
+    members = stored(placed.join(size, "component"))
+    texts = docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    mine = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    dealt = members.withColumn("mine", mine).join(stored(token_sets(texts, words)), "node")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "n",
+                        "copies", "tokens")
+
+
+def links_of_cell(i: int, j: int, table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member of block ``i`` with the members of block ``j`` that it links to, as places in ``table``."""
+    node, n, mine = (table.column(c).to_numpy() for c in ("node", "n", "mine"))
+    once = np.zeros(len(node), bool)
+    once[np.unique(node, return_index=True)[1]] = True      # rows that share an id and a text bring a set twice
+    left, right = np.flatnonzero(once & (mine == i)), np.flatnonzero(once & (mine == j))
+    if not len(left) or not len(right):
+        return
+    right = right[np.argsort(n[right], kind="stable")]
+    tokens = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
+    known, number = np.unique(np.concatenate([tokens[y] for y in right]), return_inverse=True)
+    first = np.cumsum(n[right]) - n[right]
+    ends, has = np.append(first, len(number)), np.zeros(len(known) + 1, np.int32)
+    for x in left:
+        low, high = np.searchsorted(n[right] * 100, n[x] * percent), np.searchsorted(n[right] * percent, n[x] * 100, "right")
+        if low == high:
+            continue
+        at = np.searchsorted(known, tokens[x])
+        at = np.where(known[np.minimum(at, len(known) - 1)] == tokens[x], at, len(known))
+        has[at] = 1
+        has[-1] = 0
+        common = np.add.reduceat(has[number[ends[low]:ends[high]]], first[low:high] - first[low])
+        has[at] = 0
+        y = right[low:high]
+        yield x, y[(100 * common >= percent * (n[x] + n[y] - common)) & ((node[y] > node[x]) | (i != j))]
+
+
+def token_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``(node, tokens)`` of the texts."""
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for _, s in shingle_sets(batch.column(0), powers, words):
+                yield pa.RecordBatch.from_arrays([pa.array([int(mix(s).sum().astype(np.int64))], pa.int64()),
+                                                  pa.array([s.tobytes()], pa.binary())], ["node", "tokens"])
+
+    return texts.select("text").mapInArrow(build, "node long, tokens binary")
+
+
+def component_ids(rows: DataFrame, placed: DataFrame, more: dict | None = None) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` of every row; ``more``: further columns of ``placed`` and what stands for none."""
     # label every component by its smallest document
-    placed = nodes.join(labels, nodes.node == labels.id, "left").select("node", "n", "doc_id", F.coalesce("component", "node").alias("component"))
-    placed = stored(placed)
+    more = more or {}
     smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_node = stored(placed.join(smallest, "component").select("node", "n", "component_id"))
+    by_node = stored(placed.join(smallest, "component").select("node", "n", "component_id", *more))
     out = rows.join(by_node.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & (rows.n == by_node.n)
                     & rows.doc_id.isNotNull(), "left")
-    return out.select("doc_id", rows.n.alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", rows.n.alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+                      *(F.coalesce(by_node[c], v).alias(c) for c, v in more.items()))
+
+
+def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for every row: its set size and the smallest id reachable over links.
+
+    Two rows link when ``100 * intersection >= percent * union`` of their sets of distinct ``words``-word shingles of
+    lower-cased (A-Z) words. Fewer words make one shingle of the whole sequence. Rows without words or text have an
+    empty set and link with nothing; rows without an id link with nothing and have a null component. Rows that share
+    an id are compared each on its own. Other columns are ignored. Sets are compared as 64-bit shingle hashes.
+    """
+    return component_ids(*grouped(plain(docs, id_col, text_col), percent, words))
+
+
+def linked_pairs(docs: DataFrame, percent: int = 75, words: int = WORDS, id_col: str = "doc_id",
+                 text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links as ``(a, b)``, pairs ``a < b`` of distinct sets, and the sets' members ``(doc_id, node)``, one per row that
+    has an id and words. Rows of one set link as well; they are not listed as pairs. Rules as in ``near_duplicates``."""
+    docs = plain(docs, id_col, text_col)
+    rows, placed = grouped(docs, percent, words)
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        node = table.column("node").to_numpy()
+        got = [(np.full(len(y), node[x]), node[y]) for x, y in links_of_cell(key[1].as_py(), key[2].as_py(), table, percent)]
+        x, y = (np.concatenate([*(g[k] for g in got), np.empty(0, np.int64)]) for k in (0, 1))
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    pairs = cells(docs, placed, words).groupBy("component", "i", "j").applyInArrow(run, "a long, b long")
+    return pairs, rows.filter("doc_id is not null and n > 0").select("doc_id", "node")
+
+
+def link_counts(docs: DataFrame, percent: int = 75, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``near_duplicates`` with ``n_links``: with how many other rows each row links, those of the same set among them."""
+    docs = plain(docs, id_col, text_col)
+    rows, placed = grouped(docs, percent, words)
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
+        total = np.zeros(len(node), np.int64)
+        for x, y in links_of_cell(key[1].as_py(), key[2].as_py(), table, percent):
+            total[x] += copies[y].sum()
+            total[y] += copies[x]
+        some = np.flatnonzero(total)
+        return pa.table({"node": node[some], "links": total[some]})
+
+    found = cells(docs, placed, words).groupBy("component", "i", "j").applyInArrow(run, "node long, links long")
+    found = found.groupBy("node").agg(F.sum("links").alias("links"))
+    counted = placed.join(found, "node", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    return component_ids(rows, stored(counted), {"n_links": F.lit(0).cast("long")})

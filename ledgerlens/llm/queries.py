@@ -87,6 +87,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(base.read(spark, sf_dir, "documents"))
 
 
+@query
+def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the number of rows that each document links with."""
+    return ngram_join.link_counts(base.read(spark, sf_dir, "documents"))
+
+
 _SHINGLES = """
 words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -105,6 +111,10 @@ FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN reached ON x = d.doc_i
 """
 
 
+SQL["op1_ngram_jaccard_links"] = SQL["op1_ngram_jaccard_join"].replace(
+    "SELECT d.doc_id, ", "SELECT d.doc_id, (SELECT count(*) FROM links l WHERE l.x = d.doc_id)::BIGINT AS n_links, ")
+
+
 KEEP = 0.7      # a document is kept from this score on
 
 

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from ledgerlens.llm import ngram_join as N
 
@@ -61,6 +62,39 @@ def test_long_lists_find_links_that_hubs_miss(spark, documents, monkeypatch):
     assert sorted(map(tuple, N.near_duplicates(documents(rows)).collect()), key=str) == brute(rows)
 
 
+def brute_sets(rows):
+    return [frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if (w := re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())) and d is not None
+            else frozenset() for d, t in rows]
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_all_links_of_a_large_group(spark, documents, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK", block)
+    rows = [(d, t) for d, t in corpus() if "É" not in (t or "")]
+    sets = brute_sets(rows)
+    link = lambda x, y: bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+    got = N.link_counts(documents(rows)).collect()
+    want = [(d, len(s) if d is not None else None, sum(link(s, t) for t in sets) - bool(s)) for (d, _), s in zip(rows, sets)]
+    assert sorted(((r.doc_id, r.n_shingles if r.doc_id is not None else None, r.n_links) for r in got), key=str) == sorted(want, key=str)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+
+    pairs, members = N.linked_pairs(documents(rows))
+    pairs = [tuple(r) for r in pairs.collect()]
+    assert len(pairs) == len(set(pairs)) and all(a < b for a, b in pairs)
+    docs = {}
+    for r in members.collect():
+        docs.setdefault(r.node, set()).add(r.doc_id)
+    named = lambda a, b: frozenset((frozenset(a), frozenset(b)))
+    holders = {}
+    for (d, _), s in zip(rows, sets):
+        if s:
+            holders.setdefault(s, set()).add(d)
+    assert sorted(map(sorted, holders.values())) == sorted(map(sorted, docs.values()))
+    different = list(holders)
+    assert {named(docs[a], docs[b]) for a, b in pairs} == {named(holders[x], holders[y]) for i, x in enumerate(different) for y in different[:i] if link(x, y)}
+    assert len(pairs) > 300
+
+
 def test_empty_table(spark, documents):
     assert N.near_duplicates(documents([(1, "a")]).limit(0)).count() == 0
 
