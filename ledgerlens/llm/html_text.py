@@ -8,7 +8,9 @@ Style sheets are not applied, only attributes of the elements themselves.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -31,7 +33,6 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 ENDS["tbody"] = ENDS["tfoot"] = ENDS["thead"]
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption"}
 SCOPE = frozenset("table td th caption template button html object".split())
-DEEPEST = 120     # elements nested deeper become siblings, so that no page exhausts the stack
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>|<[!?/][^>]*>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -55,19 +56,22 @@ def parse(page: str) -> Node:
     """The element tree; leaves are strings."""
     root = Node("#root", {})
     stack, at = [root], 0
+    places: defaultdict[str, list[int]] = defaultdict(list)     # of the open elements of each kind in the stack
+
+    def push(node: Node) -> None:
+        places[node.tag].append(len(stack))
+        stack.append(node)
 
     def end(kinds: set, barriers, every: bool = False) -> None:
         """Close the innermost open element of ``kinds``, or every one up to a barrier, and all inside."""
-        last = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in kinds:
-                last = i
-                if not every:
-                    break
-            elif stack[i].tag in barriers:
-                break
-        if last is not None:
-            del stack[last:]
+        last = max((places[k][-1] for k in kinds if places[k]), default=0)
+        barrier = max((places[k][-1] for k in barriers if k not in kinds and places[k]), default=0)
+        if last <= barrier:
+            return
+        if every:
+            last = min(places[k][i] for k in kinds if (i := bisect_right(places[k], barrier)) < len(places[k]))
+        while len(stack) > last:
+            places[stack.pop().tag].pop()
 
     while m := TOKEN.match(page, at):
         at = m.end()
@@ -80,7 +84,7 @@ def parse(page: str) -> Node:
         if m[1]:
             if tag == "br":
                 stack[-1].children.append(Node("br", {}))
-            elif tag == "p" and not any(n.tag == "p" for n in stack):
+            elif tag == "p" and not places["p"]:
                 stack[-1].children.append(Node("p", {}))
             elif tag not in VOID:
                 end({tag}, () if tag in ("table", "html", "body") else SCOPE - {tag})
@@ -92,7 +96,7 @@ def parse(page: str) -> Node:
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             row = Node("tr", {})
             stack[-1].children.append(row)
-            stack.append(row)
+            push(row)
         node = Node(tag, attributes_of(m[3]))
         stack[-1].children.append(node)
         if tag in RAW:
@@ -100,8 +104,8 @@ def parse(page: str) -> Node:
             text = page[at:close.start() if close else len(page)]
             node.children.append(text if tag != "textarea" else unescape(text))
             at = close.end() if close else len(page)
-        elif tag not in VOID and len(stack) < DEEPEST:
-            stack.append(node)
+        elif tag not in VOID:
+            push(node)
     return root
 
 
@@ -165,7 +169,22 @@ def shown(node: Node, visible: bool) -> tuple[bool, bool]:
     return True, visible
 
 
-def flow(node: Node, out: Lines, visible: bool, kept: bool = False, depth: int = 0) -> None:
+def laid_out(step: Generator):
+    """Run a step and the steps that it yields one inside the other, on a stack of their own: pages nest as deep as they like."""
+    stack, got = [step], None
+    while stack:
+        try:
+            inner = stack[-1].send(got)
+        except StopIteration as over:
+            stack.pop()
+            got = over.value
+        else:
+            stack.append(inner)
+            got = None
+    return got
+
+
+def flow(node: Node, out: Lines, visible: bool, kept: bool = False, depth: int = 0) -> Generator:
     closed = node.tag == "details" and "open" not in node.attributes
     number = node.attributes.get("start", "1")
     number = int(number) if node.tag == "ol" and re.fullmatch(r"-?\d{1,9}", number) else 1
@@ -188,14 +207,14 @@ def flow(node: Node, out: Lines, visible: bool, kept: bool = False, depth: int =
                 out.words(child.attributes["value"])
         elif tag == "table":
             out.margin()
-            rows = table(child, seen)
+            rows = yield table(child, seen)
             if rows:
                 out.put(rows)
                 out.margin()
         elif tag == "li":
             out.end()
             inner = Lines()
-            flow(child, inner, seen, kept, depth + 1)
+            yield flow(child, inner, seen, kept, depth + 1)
             lines = inner.done()
             mark = f"{number}. " if node.tag == "ol" else "- "
             if lines:
@@ -204,7 +223,7 @@ def flow(node: Node, out: Lines, visible: bool, kept: bool = False, depth: int =
         elif tag in ("dd", "blockquote"):
             (out.margin if tag in MARGIN else out.end)()
             inner = Lines()
-            flow(child, inner, seen, kept, depth + 1)
+            yield flow(child, inner, seen, kept, depth + 1)
             lines = inner.done()
             if lines:
                 out.put(["  " + x if x else "" for x in lines])
@@ -213,17 +232,17 @@ def flow(node: Node, out: Lines, visible: bool, kept: bool = False, depth: int =
             # a list inside a list has no margin of its own
             wide = tag in MARGIN and not (tag in ("ul", "ol", "menu") and depth)
             (out.margin if wide else out.end)()
-            flow(child, out, seen, kept or tag == "pre", depth)
+            yield flow(child, out, seen, kept or tag == "pre", depth)
             (out.margin if wide else out.end)()
         else:
-            flow(child, out, seen, kept, depth)
+            yield flow(child, out, seen, kept, depth)
 
 
-def table(node: Node, visible: bool) -> list[str]:
+def table(node: Node, visible: bool) -> Generator:
     """The rows of a table with aligned columns; a caption comes first. Cells of several lines are laid side by side."""
     caption, rows = [], []
 
-    def collect(part: Node, visible: bool) -> None:
+    def collect(part: Node, visible: bool) -> Generator:
         for child in part.children:
             if isinstance(child, str):
                 if visible and child.strip():
@@ -233,15 +252,15 @@ def table(node: Node, visible: bool) -> list[str]:
             if not box:
                 continue
             if child.tag in ("thead", "tbody", "tfoot"):
-                collect(child, seen)
+                yield collect(child, seen)
             elif child.tag == "tr":
                 rows.append((child, seen))
             else:
                 inner = Lines()
-                flow(Node("div", {}) if child.tag in VOID else child, inner, seen)
+                yield flow(Node("div", {}) if child.tag in VOID else child, inner, seen)
                 caption.extend(inner.done())
 
-    collect(node, visible)
+    yield collect(node, visible)
     grid: list[dict[int, list[str]]] = []
     taken: dict[tuple[int, int], bool] = {}
     for r, (row, seen) in enumerate(rows):
@@ -262,7 +281,7 @@ def table(node: Node, visible: bool) -> list[str]:
             holder = child if child.tag in ("td", "th") else Node("td", {})
             if holder is not child:
                 holder.children.append(child)
-            flow(holder, inner, visible_cell)
+            yield flow(holder, inner, visible_cell)
             cells[c] = inner.done()
             across, down = (span(child, k) for k in ("colspan", "rowspan"))
             for i in range(1, min(down, len(rows) - r)):
@@ -292,7 +311,7 @@ def render(page: str | None) -> str:
     """All visible text of a page; an absent or empty page gives an empty text."""
     out = Lines()
     if page:
-        flow(parse(page), out, True)
+        laid_out(flow(parse(page), out, True))
     lines = [x.rstrip() for x in out.done()]
     return "\n".join(lines).strip("\n")
 

@@ -27,6 +27,18 @@ def test_layout(page, text):
     assert got == text or got.replace(" ", "") == text.replace(" ", "") and "pic" in text
 
 
+@pytest.mark.parametrize("tag", ["div", "font", "span"])
+@pytest.mark.parametrize("n", [130, 20000])
+def test_deep_elements_keep_their_rules(tag, n):
+    deep = f"<{tag}>" * n
+    assert render(deep + "a<b hidden>no</b> <dialog>no</dialog>c<i style='display:none'>no</i>").split() == ["a", "c"]
+    assert render("<div style='visibility:hidden'>" + deep + "no<b style='visibility:visible'>yes</b>no") == "yes"
+    assert render(deep + "<table><tr><td>a<td>1<tr><td>bcd<td>2</table><ul><li>x<li>y</ul><pre>p\n  q</pre>") == "a    1\nbcd  2\n\n- x\n- y\n\np\n  q"
+    assert render(f"<{tag} hidden>" + deep + f"<{tag}>no</{tag}>" + "no" + f"</{tag}>" * n + f"no</{tag}>yes") == "yes"
+    assert render("<table><tr><td>" + deep + "<table><tr><td>x</table>y<td>z</table>w").split() == ["x", "z", "y", "w"]
+    assert render("<li>" * 3 + "<ul>" * 500 + "<li>x").endswith("- x")
+
+
 class Visible(HTMLParser):
     """All words outside script, style and the head."""
     def __init__(self):
