@@ -19,15 +19,25 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title meta link base datalist iframe noembed noframes object svg math "
-                   "audio video canvas select option param source track area map".split())
+UNSEEN = frozenset("head script style template noscript title meta link base datalist iframe noembed noframes "
+                   "audio video canvas param source track area map annotation annotation-xml".split())
+# parts of a drawing that are not drawn where they stand; of the rest only texts are
+UNDRAWN = frozenset("title desc metadata defs symbol clippath mask pattern marker filter lineargradient radialgradient style script".split())
+DRAWN = frozenset(["text", "foreignobject"])
+# HTML inside drawings and formulas: below these it is at home, elsewhere the other kinds end the drawing or formula
+AT_HOME = frozenset("foreignobject annotation-xml desc mi mo mn ms mtext".split())
+LEAVES = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
+                   "ruby s small span strong strike sub sup table tt u ul var".split())
+# inputs without a value that can be read; all others, unknown kinds too, show theirs
+NO_VALUE = frozenset("hidden password checkbox radio range color file image".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset form address menu".split())
 BLOCK = MARGIN | frozenset("html body div section article aside header footer nav main li dt dd tr caption legend figcaption "
-                           "details summary dialog center search hgroup thead tbody tfoot td th optgroup".split())
+                           "details summary dialog center search hgroup thead tbody tfoot td th optgroup option".split())
 # an opening tag (left) ends an open element of these kinds, unless one of the barriers is met first
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
         "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}),
         "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select", "datalist"}),
+        "optgroup": ({"option", "optgroup"}, {"select", "datalist"}),
         "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
         "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"})}
 ENDS["tbody"] = ENDS["tfoot"] = ENDS["thead"]
@@ -81,6 +91,12 @@ def parse(page: str) -> Node:
                 stack[-1].children.append(unescape(m[0]))
             continue
         tag = tag.lower()
+        foreign = max((places[k][-1] for k in ("svg", "math") if places[k]), default=0)
+        if foreign and foreign < max((places[k][-1] for k in AT_HOME if places[k]), default=0):
+            foreign = 0
+        if foreign and not m[1] and tag in LEAVES:
+            end({"svg", "math"}, AT_HOME, every=True)
+            foreign = 0
         if m[1]:
             if tag == "br":
                 stack[-1].children.append(Node("br", {}))
@@ -99,6 +115,8 @@ def parse(page: str) -> Node:
             push(row)
         node = Node(tag, attributes_of(m[3]))
         stack[-1].children.append(node)
+        if m[4] and (foreign or tag in ("svg", "math")):
+            continue
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
             text = page[at:close.start() if close else len(page)]
@@ -169,6 +187,40 @@ def shown(node: Node, visible: bool) -> tuple[bool, bool]:
     return True, visible
 
 
+def options(node: Node, visible: bool) -> Iterator[str]:
+    """The labels that a ``select`` shows: of a drop-down list the chosen one, of an open list all with the names of their groups."""
+    a = node.attributes
+    size = a.get("size", "")
+    open_list = "multiple" in a or size.isdecimal() and int(size) > 1
+    found, stack = [], [(child, visible, True, False) for child in reversed(node.children) if isinstance(child, Node)]
+    while stack:
+        item, seen, box, off = stack.pop()
+        has_box, seen = shown(item, seen)
+        box, off = box and has_box, off or "disabled" in item.attributes
+        if item.tag in ("option", "optgroup"):
+            found.append((item, box and seen, off))
+        if item.tag != "option":
+            stack += [(child, seen, box, off) for child in reversed(item.children) if isinstance(child, Node)]
+    if not open_list:
+        found = [f for f in found if f[0].tag == "option"]
+        chosen = [f for f in found if "selected" in f[0].attributes][-1:] or [f for f in found if not f[2]][:1]
+        found = [(f[0], visible, False) for f in chosen]
+    for item, seen, _ in found:
+        label = item.attributes.get("label") or ("".join(texts(item)) if item.tag == "option" else "")
+        if seen and label:
+            yield label
+
+
+def texts(node: Node) -> Iterator[str]:
+    stack = [node]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            yield item
+        elif item.tag not in ("script", "style"):
+            stack += reversed(item.children)
+
+
 def laid_out(step: Generator):
     """Run a step and the steps that it yields one inside the other, on a stack of their own: pages nest as deep as they like."""
     stack, got = [step], None
@@ -184,27 +236,44 @@ def laid_out(step: Generator):
     return got
 
 
-def flow(node: Node, out: Lines, visible: bool, kept: bool = False, depth: int = 0) -> Generator:
+def flow(node: Node, out: Lines, visible: bool, kept: bool = False, depth: int = 0, svg: bool = False) -> Generator:
+    """``svg``: inside a drawing, but not in one of its texts."""
     closed = node.tag == "details" and "open" not in node.attributes
     number = node.attributes.get("start", "1")
     number = int(number) if node.tag == "ol" and re.fullmatch(r"-?\d{1,9}", number) else 1
     for child in node.children:
         if isinstance(child, str):
-            if visible and not closed:
+            if visible and not closed and not svg:
                 (out.kept if kept else out.words)(child)
             continue
         tag = child.tag
         box, seen = shown(child, visible)
         if not box or closed and tag != "summary":
             continue
-        if tag == "br":
+        if svg or tag == "svg":
+            # texts of a drawing stand apart from each other
+            if tag not in UNDRAWN:
+                out.space = True
+                yield flow(child, out, seen, kept, depth, tag not in DRAWN)
+                out.space = True
+        elif node.tag in ("text", "tspan", "textpath") and tag in UNDRAWN:
+            continue
+        elif tag == "select":
+            lines = list(options(child, seen))
+            for i, label in enumerate(lines):
+                if i:
+                    out.end()
+                out.words(label)
+        elif tag == "br":
             out.end(True)
         elif tag == "img":
             if seen and child.attributes.get("alt"):
                 out.words(child.attributes["alt"])
         elif tag == "input":
-            if seen and child.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text") and child.attributes.get("value"):
-                out.words(child.attributes["value"])
+            kind = child.attributes.get("type", "text").strip().lower()
+            label = child.attributes.get("alt" if kind == "image" else "value")
+            if seen and label and (kind == "image" or kind not in NO_VALUE):
+                out.words(label)
         elif tag == "table":
             out.margin()
             rows = yield table(child, seen)
@@ -256,8 +325,9 @@ def table(node: Node, visible: bool) -> Generator:
             elif child.tag == "tr":
                 rows.append((child, seen))
             else:
-                inner = Lines()
-                yield flow(Node("div", {}) if child.tag in VOID else child, inner, seen)
+                inner, holder = Lines(), Node("div", {})
+                holder.children.append(child)
+                yield flow(holder, inner, visible)
                 caption.extend(inner.done())
 
     yield collect(node, visible)

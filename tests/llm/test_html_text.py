@@ -39,6 +39,28 @@ def test_deep_elements_keep_their_rules(tag, n):
     assert render("<li>" * 3 + "<ul>" * 500 + "<li>x").endswith("- x")
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("so <math><mi>x</mi><mo>=</mo><mn>2</mn><mspace/><mi>y</mi></math> holds", "so x=2y holds"),
+    ("<math><semantics><mi>x</mi><annotation encoding='tex'>no</annotation></semantics></math>", "x"),
+    ("a<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><path d='M0'/>no<g><text>one <tspan>1</tspan></text><text>two</text></g></svg>b",
+     "a one 1 two b"),
+    ("<svg><rect/><foreignObject><div>in</div><p>HTML</p></foreignObject></svg>", "in\n\nHTML"), ("<svg hidden><text>no</text></svg>x", "x"),
+    ("<svg/>a<svg><g><p>out", "a\n\nout"), ("<svg><text display='x'>a<title>no</title></text></svg>", "a"),
+    ("<select><option>one<option selected>two<option>three</select>", "two"), ("<select><option disabled>pick<option>one</select>!", "one!"),
+    ("<select><optgroup label=G><option label=L>one<option>two</select>", "L"), ("<select hidden><option>no</select>", ""),
+    ("<select multiple><option>one<optgroup label=G><option>two</optgroup><option hidden>no</select>", "one\nG\ntwo"),
+    ("<select size=3><option>one<option>two</select>", "one\ntwo"), ("<datalist><option>no</datalist>x", "x"),
+    ("<object data=x><param name=a>fall <b>back</b></object>", "fall back"),
+    ("<table><img alt='pic'><tr><td>a</table>", "pic\na"), ("<table><input value='v'><tr><td>a</table>", "v\na"),
+    ("<table><input type=hidden value=no><img alt=no hidden><tr><td>a</table>", "a"),
+    *((f"<input type={k} value='v w'>", "v w") for k in ("email", "URL", "number", "search", "tel", "date", "unknown")),
+    *((f"<input type={k} value='no'>", "") for k in ("password", "checkbox", "radio", "range", "file", "hidden")),
+    ("<input type=image alt='go' value='no'>", "go"),
+])
+def test_all_that_a_reader_sees(page, text):
+    assert render(page) == text
+
+
 class Visible(HTMLParser):
     """All words outside script, style and the head."""
     def __init__(self):
