@@ -36,7 +36,9 @@ def thaw(blob: bytes) -> dict[str, np.ndarray]:
 
 def pieces(order: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Parts of ``order``, which sorts by bucket, one bucket each."""
+    if not len(order):
+        return
     b = bucket[order]
-    cuts = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.empty(0, np.int64)
+    cuts = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
     for a, e in zip(cuts, np.append(cuts[1:], len(b)), strict=True):
         yield int(b[a]), order[a:e]
