@@ -235,21 +235,32 @@ def decide_level(c: DataFrame, x: Inputs) -> DataFrame:
         "memory_cards": F.when(legit, F.array("card_id")).otherwise(F.array_sort(F.array_union("own_cards", others)))}))
 
 
+def fraud_traces(decided: DataFrame) -> DataFrame:
+    """The cards, devices and customer that every alert judged fraud leaves: ``case_id, customer_id, opened_us, k (kind, v)``."""
+    none = F.array().cast("array<string>")
+    left = F.explode(F.concat(
+        F.transform("memory_cards", lambda x: F.struct(F.lit("card").alias("kind"), x.alias("v"))),
+        F.transform(F.coalesce("all_devices", none), lambda x: F.struct(F.lit("device").alias("kind"), x.alias("v"))),
+        F.array(F.struct(F.lit("customer").alias("kind"), F.col("customer_id").alias("v")))))
+    return decided.filter(F.col("verdict") == "fraud").select("case_id", "customer_id", "opened_us", left.alias("k"))
+
+
+def earlier_links(decided: DataFrame, keys: DataFrame) -> DataFrame:
+    """All pairs ``(case_id, earlier_id)`` of an alert and an earlier one judged fraud that share a value; one row each."""
+    t = fraud_traces(decided).select("k.kind", "k.v", F.struct("opened_us", "case_id").alias("e"))
+    ask = keys.join(decided.select("case_id", "opened_us"), "case_id")
+    hit = ask.join(t, ["kind", "v"]).filter(F.col("e") < F.struct("opened_us", "case_id"))
+    return hit.select("case_id", F.col("e.case_id").alias("earlier_id")).distinct()
+
+
 def earlier_fraud(decided: DataFrame, keys: DataFrame) -> DataFrame:
     """Which alerts share a card, specific device or customer with an earlier alert judged fraud.
 
     Per shared value only the earliest fraud cases of two different customers are kept: they decide both
     whether an earlier case exists and whether one belongs to somebody else, so a value shared by many
-    alerts never multiplies them. ``keys``: ``case_id, kind, v`` of each alert.
+    alerts never multiplies them in the rounds. ``keys``: ``case_id, kind, v`` of each alert.
     """
-    none = F.array().cast("array<string>")
-    fraud = decided.filter(F.col("verdict") == "fraud")
-    left = F.explode(F.concat(
-        F.transform("memory_cards", lambda x: F.struct(F.lit("card").alias("kind"), x.alias("v"))),
-        F.transform(F.coalesce("all_devices", none), lambda x: F.struct(F.lit("device").alias("kind"), x.alias("v"))),
-        F.array(F.struct(F.lit("customer").alias("kind"), F.col("customer_id").alias("v")))))
-    marks = fraud.select("case_id", "customer_id", "opened_us", left.alias("k")).groupBy("k", "customer_id").agg(
-        F.min(F.struct("opened_us", "case_id")).alias("e"))
+    marks = fraud_traces(decided).groupBy("k", "customer_id").agg(F.min(F.struct("opened_us", "case_id")).alias("e"))
     two = top_k(marks.select("k.kind", "k.v", F.col("customer_id").alias("ec"), "e"), ["kind", "v"], ["e"], 2)
     ask = keys.join(decided.select("case_id", "customer_id", "opened_us"), "case_id")
     hit = ask.join(two, ["kind", "v"]).filter(F.col("e") < F.struct("opened_us", "case_id"))
@@ -261,7 +272,8 @@ def run_rounds(x: Inputs, c: DataFrame, d: dict[str, DataFrame]) -> DataFrame:
     """Decide all alerts, then redo those whose earlier fraud cases changed, until none does.
 
     Links only point back in time, so the rounds settle on exactly what handling the alerts one after
-    the other gives; their number is the depth to which verdicts actually influence each other.
+    the other gives; their number is the depth to which verdicts actually influence each other. The rounds look at
+    two earlier cases per value; ``earlier`` and its size ``n_earlier`` are made of all once the verdicts have settled.
     """
     none = F.array().cast("array<string>")
     specific = d["devices"].filter(is_specific_device(F.col("device_profile_id")))
@@ -277,11 +289,15 @@ def run_rounds(x: Inputs, c: DataFrame, d: dict[str, DataFrame]) -> DataFrame:
         links = done.select("case_id", F.col("earlier").alias("_had")).join(earlier_fraud(done, keys), "case_id", "left")
         stale = checkpointed(links.withColumn("earlier", F.coalesce("earlier", none)).filter(F.col("earlier") != F.col("_had")))
         if stale.isEmpty():
-            return done
+            break
         again = c.join(stale.select("case_id", "earlier", (F.size("earlier") > 0).alias("f_earlier"),
                                     (F.coalesce("other", F.lit(0)) == 1).alias("earlier_other")), "case_id")
         redone = decide_level(again, x)
         done = checkpointed(done.join(stale.select("case_id"), "case_id", "left_anti").unionByName(redone))
+    listed = checkpointed(earlier_links(done, keys)).groupBy("case_id").agg(
+        F.array_sort(F.collect_list("earlier_id")).alias("earlier"), F.count(F.lit(1)).alias("n_earlier"))
+    listed = done.drop("earlier").join(listed, "case_id", "left")
+    return checkpointed(listed.withColumns({"earlier": F.coalesce("earlier", none), "n_earlier": F.coalesce("n_earlier", F.lit(0))}))
 
 
 def choose_precedents(c: DataFrame, listed: DataFrame) -> DataFrame:
