@@ -1,10 +1,11 @@
 """The registered queries of the subpackage, one per operator, and their SQL statements."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe, html_text, katz, maxscore, ngram_join, packing, quality, sharding, suffix_dedup, vptree
+from . import (base, bpe, html_text, importance, katz, maxscore, ngram_join, packing, pieces, quality, sharding, suffix_dedup, vptree,
+               whitening)
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -185,3 +186,68 @@ SELECT doc_id, n::BIGINT AS n_bytes, coalesce(bytes, 0)::BIGINT AS n_removed, co
        sha256(unhex(left_over)) AS kept_sha256
 FROM raw JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 """
+
+
+def _digest(column: str) -> Column:
+    return F.sha2(F.col(column).cast("binary"), 256)
+
+
+@query
+def op11_sentencepiece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text of every document."""
+    import public_tokenizers
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    ids = pieces.encoded(base.read(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    ids = ids.withColumns({"n_tokens": F.size("ids").cast("long"), "list": F.array_join(F.col("ids").cast("array<string>"), ",")})
+    ids = ids.select("doc_id", "n_tokens", _digest("list").alias("ids_sha256"), "ids")
+    return pieces.decoded(ids, path).withColumn("decoded_sha256", _digest("text")).drop("text")
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw of a quarter towards the texts of ``benchmark``."""
+    out = importance.resampled(base.read(spark, sf_dir, "documents").select("doc_id", "text"), base.read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+SQL["op12_importance_resampling"] = r"""
+WITH RECURSIVE crc_table(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) t(i)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM crc_table WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS t FROM crc_table WHERE k = 8),
+texts AS (
+  SELECT 0 AS kind, doc_id, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 1, NULL, row_number() OVER (), text FROM benchmark
+), words AS (
+  SELECT kind, doc_id, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), grams AS (
+  SELECT kind, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words
+), counted AS (SELECT kind, r, f, count(*) AS c FROM grams GROUP BY ALL),
+hashed AS (
+  SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+            list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda h: ('0x' || h)::BIGINT)),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 10000 AS b FROM (SELECT DISTINCT f FROM counted), crc
+), sums AS (SELECT kind, b, sum(c) AS n FROM counted JOIN hashed USING (f) GROUP BY ALL),
+totals AS (SELECT coalesce(sum(n) FILTER (kind = 0), 0) AS s, coalesce(sum(n) FILTER (kind = 1), 0) AS t FROM sums),
+gains AS (
+  SELECT b, floor(1000 * ln((coalesce(y.n, 0) + 1)::DOUBLE * (s + 10000)::DOUBLE / ((x.n + 1)::DOUBLE * (t + 10000)::DOUBLE)))::BIGINT AS g
+  FROM (SELECT * FROM sums WHERE kind = 0) x LEFT JOIN (SELECT * FROM sums WHERE kind = 1) y USING (b), totals
+), means AS (
+  SELECT r, sum(c)::BIGINT AS n, floor(sum(c * g)::DOUBLE / sum(c)::DOUBLE)::BIGINT AS weight
+  FROM counted JOIN hashed USING (f) JOIN gains USING (b) WHERE kind = 0 GROUP BY r
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296.0::DOUBLE))))::BIGINT AS score
+  FROM words LEFT JOIN means USING (r) WHERE kind = 0
+), drawn AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, 25 * count(*) OVER () // 100 AS k FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN (SELECT doc_id, rank FROM drawn WHERE rank <= k) USING (doc_id)
+"""
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sixteen whitened components of every usable vector."""
+    return whitening.whitened(base.read(spark, sf_dir, "embeddings"))
