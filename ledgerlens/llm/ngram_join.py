@@ -360,16 +360,20 @@ def probe_pairs(known: DataFrame, turn: int) -> DataFrame:
 
 
 def cross_pairs(known: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of nodes in one posting list but in different components so far, unless their bit maps rule a link out."""
+    """All pairs of nodes in one posting list but in different components so far, unless their bit maps rule a link out.
+
+    Near copies share most of their lists; a pair counts in the smallest list that both are in, so it is emitted once."""
+    shared = known.groupBy("node", "n").agg(F.collect_set("list").alias("lists"))      # at most a document's signatures
     mixed = known.groupBy("list").agg(F.count(F.lit(1)).alias("m")).select("list", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     at = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    dealt = known.join(mixed, "list").join(nodes.select("node", "n", "bits"), ["node", "n"])
+    dealt = known.join(mixed, "list").join(nodes.select("node", "n", "bits").join(shared, ["node", "n"]), ["node", "n"])
     dealt = dealt.withColumn("mine", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("list", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "n",
-                         "component", "bits")
+                         "component", "bits", "lists")
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
+        here, i, j = (k.as_py() for k in key)
+        lists = [frozenset(x) for x in table.column("lists").to_pylist()]
         mine, node, n, comp = (table.column(c).to_numpy() for c in ("mine", "node", "n", "component"))
         size, own, half = (np.stack(x) for x in zip(*map(coarse_maps, table.column("bits").to_pylist()), strict=True))
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
@@ -384,6 +388,7 @@ def cross_pairs(known: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             only_y = np.bitwise_count(~x_map & y_map).sum(axis=1) // (COARSE // common)
             most = np.minimum(n[x] - only_x.astype(np.int64), n[y] - only_y.astype(np.int64))
             y = y[100 * most >= percent * (n[x] + n[y] - most)]
+            y = y[[min(lists[x] & lists[v]) == here for v in y.tolist()]] if len(y) else y
             a.append(np.minimum(node[x], node[y]))
             b.append(np.maximum(node[x], node[y]))
         return pa.table({"a": np.concatenate([*a, np.empty(0, np.int64)]), "b": np.concatenate([*b, np.empty(0, np.int64)])})
