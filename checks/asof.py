@@ -65,7 +65,7 @@ PROBES = f"""probes AS (SELECT a.case_id, l.device_profile_id, opened_us AS as_o
   FROM probes p JOIN ledger l USING (device_profile_id) WHERE l.us >= start_us AND l.us < end_us GROUP BY ALL""", PROBES))
 def device_neighbors(spark, sf):
     b = Bank(spark, sf)
-    return A.device_summary(device_probes(b), b.ledger).withColumn("mean_score", F.round("mean_score", 6))
+    return A.device_totals(device_probes(b), b.ledger, 30 * DAY).withColumn("mean_score", F.round("mean_score", 6))
 
 
 @query("device_neighbor_rows", led_alerts("""

@@ -1,15 +1,13 @@
 """Case memory, nearest neighbours and text retrieval."""
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import text as X
 from ledgerlens.operators import features as FT
 from ledgerlens.operators import memory as M
 from ledgerlens.operators import similarity as N
-from ledgerlens.operators.skew import top_k
+from ledgerlens.operators.search import TextIndex
 from ledgerlens.session import stored
 from ledgerlens.sources.testbed import Bank, table
 
@@ -186,24 +184,18 @@ def document_tokens(spark, sf):
 @query("document_idf", with_("SELECT token, df, round(idf, 6) AS idf FROM idf", *DOCS))
 def document_idf(spark, sf):
     d = table(spark, sf, "documents")
-    return X.fit_idf(X.token_counts(d), d.count()).withColumn("idf", F.round("idf", 6))
+    return X.fit_idf(X.token_counts(d), d.count()).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("document_vectors", with_("SELECT id AS doc_id, dim, round(w, 6) AS w FROM dv WHERE abs(w) > 1e-9", *DOCS, *vectors_sql("dv", "dc", "idf")))
 def document_vectors(spark, sf):
     d = table(spark, sf, "documents")
-    c = X.token_counts(d)
+    c = stored(X.token_counts(d))
     return X.embed(c, X.fit_idf(c, d.count())).filter(F.abs("w") > 1e-9).withColumn("w", F.round("w", 6))
 
 
-def search(queries, corpus_counts, idf, k, min_score=0.05):
-    """Cosine top-k of unit vectors: the same order as Euclidean distance, ``cos = 1 - d² / 2``."""
-    q = X.dense(X.embed(queries, idf, "id"), "id").select(F.col("id").alias("query_id"), "v", F.lit(1).alias("as_of"))
-    p = X.dense(X.embed(corpus_counts, idf, "id"), "id").select(F.col("id").alias("point_id"), "v", F.lit(0).alias("since"))
-    far = math.sqrt(2 - 2 * min_score)
-    r = N.nearest(q, stored(p), k, max_distance=far)
-    return r.select("query_id", "point_id", F.round(1 - F.col("distance") * F.col("distance") / 2, 5).alias("score"),
-                    F.col("rank").cast("bigint").alias("rank"))
+def rounded(found):
+    return found.select("query_id", "point_id", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def search_sql(k):
@@ -218,8 +210,7 @@ def search_sql(k):
 def text_search(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
     q = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text")
-    c = X.token_counts(d, "id")
-    return search(X.token_counts(q, "id"), c, X.fit_idf(c, d.count()), 4)
+    return rounded(TextIndex(d).search(q, 4))
 
 
 CASE_TEXT = """'pattern ' || pattern || ' outcome ' || outcome || ' exposure_band ' || CASE WHEN exposure_usd >= 500 THEN 'large'
@@ -261,7 +252,5 @@ def investigation_texts(spark, sf):
                                                                          "SELECT query_id, max(score) AS best"))
 def case_text_scores(spark, sf):
     """Best matching closed case per alert; the templated notes tie, so the score is compared, not the id."""
-    docs = case_texts(Bank(spark, sf))
-    c = X.token_counts(docs, "id")
-    r = search(X.token_counts(investigation_texts(spark, sf), "id"), c, X.fit_idf(c, docs.count()), 1)
-    return r.select("query_id", F.col("score").alias("best"))
+    found = TextIndex(case_texts(Bank(spark, sf))).search(investigation_texts(spark, sf), 1)
+    return rounded(found).select("query_id", F.col("score").alias("best"))

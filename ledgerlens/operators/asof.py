@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import flag
 from ..params import DEFAULT, HOUR, Params
-from .skew import band_join, running_totals, top_k, window_pieces
+from .skew import band_join, running_totals, top_k, trailing_counts, window_pieces
 
 
 def txn_context(alerts: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -49,19 +49,16 @@ def baseline_summary(alerts: DataFrame, ledger: DataFrame) -> DataFrame:
     return alerts.select("case_id").join(g, "case_id", "left").fillna(empty)
 
 
-def device_summary(probes: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Per (case, device) span: rows, distinct cards and customers, rows marked new / behind a proxy."""
-    rows = ledger.filter(F.col("device_profile_id").isNotNull())
+def device_totals(probes: DataFrame, ledger: DataFrame, width_us: int) -> DataFrame:
+    """Per (case, device) in the ``width_us`` before ``end_us``: rows, distinct cards and customers, rows marked new or behind a
+    proxy, mean score. Probes without rows there are left out."""
     new, proxy = F.col("id_15") == "New", F.col("id_23").isNotNull()
-    keep = probes.select("case_id", "device_profile_id", "start_us", "end_us")
-    pieces = window_pieces(keep, rows, ["device_profile_id"], "start_us", "end_us", ["customer_id", "card_id"],
-                           {"n": F.lit(1), "new": flag(new), "proxy": flag(proxy), "both": flag(new & proxy),
-                            "score": F.coalesce(F.col("p_txn"), F.lit(0.0)), "scored": flag(F.col("p_txn").isNotNull())})
-    return pieces.groupBy("case_id", "device_profile_id").agg(
-        F.sum("n").alias("n_txns"), F.countDistinct("card_id").alias("n_cards"),
-        F.countDistinct("customer_id").alias("n_customers"), F.sum("new").alias("n_new"),
-        F.sum("proxy").alias("n_proxy"), F.sum("both").alias("n_new_proxy"),
-        (F.sum("score") / F.nullif(F.sum("scored"), F.lit(0))).alias("mean_score"))
+    sums = {"n_txns": F.lit(1), "n_new": flag(new), "n_proxy": flag(proxy), "n_new_proxy": flag(new & proxy),
+            "_score": F.coalesce("p_txn", F.lit(0.0)), "_scored": flag(F.col("p_txn").isNotNull())}
+    found = trailing_counts(probes.select("case_id", "device_profile_id", "end_us"), ledger.filter(F.col("device_profile_id").isNotNull()),
+                            ["device_profile_id"], "end_us", width_us, sums, {"n_cards": F.col("card_id"), "n_customers": F.col("customer_id")})
+    mean = F.when(F.col("_scored") > 0, F.col("_score") / F.col("_scored"))
+    return found.filter(F.col("n_txns") > 0).withColumn("mean_score", mean).drop("end_us", "_score", "_scored")
 
 
 def device_neighbors(probes: DataFrame, ledger: DataFrame) -> DataFrame:

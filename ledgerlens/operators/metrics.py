@@ -8,33 +8,25 @@ from ..functions.columns import flag
 from ..params import DEFAULT, Params
 from ..session import checkpointed
 from .episodes import reconstruct, set_agreement, summarise
-from .skew import running_totals
+from .skew import range_totals
 
 THRESHOLDS = [round(i * 0.05, 2) for i in range(1, 20)]
 
 
-def _by_score(scored: DataFrame, descending: bool) -> DataFrame:
-    """One row per distinct score with the counts before it in sort order.
-
-    Scores are cut into slices, so no task sorts all of them.
-    """
-    g = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).withColumn("_all", F.lit(1))
-    g = g.withColumn("_key", -F.col("score") if descending else F.col("score"))
-    return running_totals(g, ["_all"], ["_key"], {"n_before": ("sum", F.col("n")), "pos_before": ("sum", F.col("pos"))},
-                          slice_width=0.0005)
-
-
 def ranking(scored: DataFrame) -> DataFrame:
-    """ROC-AUC (tied scores share their mean rank), average precision and Brier score. ``score, y``."""
-    up = _by_score(scored, descending=False).agg(
-        F.sum(F.col("pos") * (F.col("n_before") + (F.col("n") + 1) / 2)).alias("ranks"), F.sum("pos").alias("n1"),
-        F.sum("n").alias("n_all"))
-    down = _by_score(scored, descending=True).withColumns(
-        {"tp": F.col("pos_before") + F.col("pos"), "seen": F.col("n_before") + F.col("n")}).agg(
-        F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("ap_sum"))
-    brier = scored.agg(F.avg((F.col("score") - F.col("y")) * (F.col("score") - F.col("y"))).alias("brier"))
+    """ROC-AUC (tied scores share their mean rank), average precision and Brier score. ``score, y``.
+
+    Rows are counted per distinct score first, so ties never lie on two sides of a range; the counts below each score then come
+    from even ranges of scores, however the scores are spread. One ascending pass serves both directions."""
+    per_score = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("pos"))
+    below = range_totals(per_score, ["score"], {"n_below": F.col("n"), "pos_below": F.col("pos")})
+    error = (F.col("score") - F.col("y")) * (F.col("score") - F.col("y"))
+    whole = scored.agg(F.count(F.lit(1)).alias("n_all"), F.sum("y").cast("long").alias("n1"), F.avg(error).alias("brier"))
+    g = below.crossJoin(whole)      # one row
+    tp, seen = F.col("n1") - F.col("pos_below"), F.col("n_all") - F.col("n_below")
+    sums = g.agg(F.sum(F.col("pos") * (F.col("n_below") + (F.col("n") + 1) / 2)).alias("ranks"), F.sum(F.col("pos") * tp / seen).alias("ap_sum"))
     n1, n0 = F.col("n1"), F.col("n_all") - F.col("n1")
-    return up.crossJoin(down).crossJoin(brier).select(
+    return sums.crossJoin(whole).select(
         F.col("n_all").alias("n"), n1.alias("n_pos"), ((F.col("ranks") - n1 * (n1 + 1) / 2) / (n1 * n0)).alias("roc_auc"),
         (F.col("ap_sum") / n1).alias("avg_precision"), "brier")
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..params import DAY, HOUR
+from ..session import stored
 
 _MERGE = {"count": F.sum, "sum": F.sum, "max": F.max, "min": F.min}
 
@@ -118,6 +119,52 @@ def window_pieces(probes: DataFrame, rows: DataFrame, keys: list[str], start: st
     return inner.unionByName(edges)
 
 
+def trailing_counts(probes: DataFrame, rows: DataFrame, keys: list[str], end: str, width: int, sums: dict[str, Column],
+                    distinct: dict[str, Column], row_id: str = "TransactionID", us: str = "us") -> DataFrame:
+    """Add to each probe, over the rows of its keys in ``[end - width, end)``: the ``sums``, and for each name in ``distinct``
+    the number of different values that are not null.
+
+    A value counts once, by the use whose previous use lies before the span. That use counts from its own time, or from
+    ``width`` after the previous use if that is later, until ``width`` after itself: two events in time, whatever the probes
+    are. Sums are two events a row as well, so every answer is a running total of events at the probe's instant, and the
+    work does not depend on how many rows a span holds. ``keys`` are not null. A span without rows gives zeros.
+    """
+    names = [*sums, *distinct]
+    span = F.lit(width)
+
+    def steps(df: DataFrame, begin: Column, stop: Column, values: dict[str, Column]) -> DataFrame:
+        both = F.explode(F.array(F.struct(begin.alias("at"), F.lit(1).alias("sign")), F.struct(stop.alias("at"), F.lit(-1).alias("sign"))))
+        made = df.select(*keys, *[v.alias(f"_v_{n}") for n, v in values.items()], both.alias("_e"))
+        return made.select(*keys, F.col("_e.at").alias("_at"), F.lit(1).alias("_kind"), *[(F.col(f"_v_{n}") * F.col("_e.sign")).alias(n) for n in values])
+
+    line = probes.withColumns({"_at": F.col(end), "_kind": F.lit(0)})
+    if sums:
+        line = line.unionByName(steps(rows, F.col(us), F.col(us) + span, sums), allowMissingColumns=True)
+    for name, value in distinct.items():
+        uses = rows.select(*keys, value.alias("_value"), us, row_id).filter(F.col("_value").isNotNull())
+        uses = running_totals(uses, [*keys, "_value"], [us, row_id], {"_last": ("max", F.col(us))}, slice_width=DAY)
+        begin = F.greatest(F.col(us), F.coalesce(F.col("_last") + span, F.col(us)))
+        uses = uses.filter(begin < F.col(us) + span)
+        line = line.unionByName(steps(uses, begin, F.col(us) + span, {name: F.lit(1)}), allowMissingColumns=True)
+    total = running_totals(line, keys, ["_at", "_kind"], {f"_t_{n}": ("sum", F.col(n)) for n in names}, slice_width=DAY)
+    return total.filter(F.col("_kind") == 0).select(*probes.columns, *[F.col(f"_t_{n}").alias(n) for n in names])
+
+
+def range_totals(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Add the sums over all strictly earlier rows of the whole table in ``order``, which leaves no ties.
+
+    Spark samples the order and deals even ranges of it; a range is summed in its task, and the totals of the ranges before
+    it, of which there are as many as partitions, are added. The ranges are written once, so both steps see the same."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    inside = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(*[F.sum(v).alias(f"_s_{n}") for n, v in sums.items()])
+    before = totals.select("_range", *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    out = ranged.withColumns({n: F.coalesce(F.sum(v).over(inside), F.lit(0)) for n, v in sums.items()}).join(before, "_range")
+    return out.select(*df.columns, *[(F.col(n) + F.col(f"_b_{n}")).alias(n) for n in sums])
+
+
 def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows per key; Spark trims each map-side partition to k before the shuffle."""
     w = W.partitionBy(*keys).orderBy(*order)
