@@ -33,6 +33,7 @@ NO_VALUE = frozenset("hidden password checkbox radio range color file image".spl
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset form address menu".split())
 BLOCK = MARGIN | frozenset("html body div section article aside header footer nav main li dt dd tr caption legend figcaption "
                            "details summary dialog center search hgroup thead tbody tfoot td th optgroup option".split())
+SPANS = {"colspan": 1000, "rowspan": 65534}
 # an opening tag (left) ends an open element of these kinds, unless one of the barriers is met first
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
         "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}),
@@ -44,7 +45,11 @@ ENDS["tbody"] = ENDS["tfoot"] = ENDS["thead"]
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption"}
 SCOPE = frozenset("table td th caption template button html object".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>|<[!?/][^>]*>|[^<]+|<", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+# what follows a tag's name, up to the first > that is not quoted; no part is ever given back, so time is linear
+INSIDE = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+")
+OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/][^>]*+>|[^<]++|<", re.S)
+REST = re.compile(r"<!--.*|[^<]++|<", re.S)       # the same where no > is left
 ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 HIDING = re.compile(r"display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"visibility\s*:\s*(\w+)", re.I)
@@ -63,7 +68,10 @@ def attributes_of(text: str) -> dict:
 
 
 def parse(page: str) -> Node:
-    """The element tree; leaves are strings."""
+    """The element tree; leaves are strings.
+
+    A tag whose quotes swallow all that follows ends at its first ``>``, and quotes count no more from there on; an opening
+    bracket after the last ``>`` of the page begins no tag and is text."""
     root = Node("#root", {})
     stack, at = [root], 0
     places: defaultdict[str, list[int]] = defaultdict(list)     # of the open elements of each kind in the stack
@@ -83,13 +91,21 @@ def parse(page: str) -> Node:
         while len(stack) > last:
             places[stack.pop().tag].pop()
 
-    while m := TOKEN.match(page, at):
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+    last, quotes = page.rfind(">"), True
+    while at < len(page):
+        m = TAG.match(page, at) if at < last else None
+        if m is None:
+            m = (OTHER if at < last else REST).match(page, at)
+            at = m.end()
             if m[0][0] != "<" or m[0] == "<":
                 stack[-1].children.append(unescape(m[0]))
             continue
+        stop = INSIDE.match(page, m.end()).end() if quotes else len(page)
+        if stop == len(page):
+            quotes, stop = False, page.find(">", m.end())
+        inside, at = page[m.end():stop], stop + 1
+        closed = inside.endswith("/")
+        inside, tag = inside[:-1] if closed else inside, m[2]
         tag = tag.lower()
         foreign = max((places[k][-1] for k in ("svg", "math") if places[k]), default=0)
         if foreign and foreign < max((places[k][-1] for k in AT_HOME if places[k]), default=0):
@@ -113,9 +129,9 @@ def parse(page: str) -> Node:
             row = Node("tr", {})
             stack[-1].children.append(row)
             push(row)
-        node = Node(tag, attributes_of(m[3]))
+        node = Node(tag, attributes_of(inside))
         stack[-1].children.append(node)
-        if m[4] and (foreign or tag in ("svg", "math")):
+        if closed and (foreign or tag in ("svg", "math")):
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -332,7 +348,7 @@ def table(node: Node, visible: bool) -> Generator:
 
     yield collect(node, visible)
     grid: list[dict[int, list[str]]] = []
-    taken: dict[tuple[int, int], bool] = {}
+    until: dict[int, int] = {}      # the first row of each column that no cell from above reaches
     for r, (row, seen) in enumerate(rows):
         cells, c = {}, 0
         for child in row.children:
@@ -345,7 +361,7 @@ def table(node: Node, visible: bool) -> Generator:
             box, visible_cell = shown(child, seen)
             if not box:
                 continue
-            while taken.get((r, c)):
+            while until.get(c, 0) > r:
                 c += 1
             inner = Lines()
             holder = child if child.tag in ("td", "th") else Node("td", {})
@@ -354,9 +370,8 @@ def table(node: Node, visible: bool) -> Generator:
             yield flow(holder, inner, visible_cell)
             cells[c] = inner.done()
             across, down = (span(child, k) for k in ("colspan", "rowspan"))
-            for i in range(1, min(down, len(rows) - r)):
-                for j in range(across):
-                    taken[r + i, c + j] = True
+            if down > 1:
+                until.update((c + j, max(until.get(c + j, 0), r + down)) for j in range(across))
             c += across
         grid.append(cells)
     widths: dict[int, int] = {}
@@ -373,8 +388,9 @@ def table(node: Node, visible: bool) -> Generator:
 
 
 def span(cell: Node, kind: str) -> int:
-    value = cell.attributes.get(kind, "1")
-    return max(1, min(1000, int(value))) if re.fullmatch(r"\d{1,6}", value) else 1
+    """Rows or columns of a cell, up to the limits that browsers keep."""
+    value = cell.attributes.get(kind, "1").strip()
+    return max(1, min(SPANS[kind], int(value[:9]))) if re.fullmatch(r"[0-9]+", value) else 1
 
 
 def render(page: str | None) -> str:

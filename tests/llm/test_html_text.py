@@ -1,4 +1,5 @@
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -96,3 +97,27 @@ def test_rows_and_columns_stay(spark):
     assert got[0].text == "" and got[1].text == "deep" and len(re.findall("a", got[2].text)) == 20000
     assert render("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<p>hello <a " + "n" * 10_000, "hello <a " + "n" * 10_000), ("<p>x</p>" + "<a " * 50_000, None), ("<! " * 50_000, None),
+    ("<" * 100_000, "<" * 100_000), ("<a " + "\"" * 100_000 + ">x", "x"), ("<a " + "'" * 99_999 + ">x", "x"), ("<a \"" * 50_000 + ">", None),
+    ("<a '\">" * 30_001 + "y", None), ("<p>a</p" + " b" * 50_000, None), ("<!--" * 30_000, ""), ("<a b" + " " * 100_000 + "c>d", "d"),
+    ("<a title='x>y'>z</a>", "z"), ("<a title='x>y", "y"), ("<a/>z", "z"), ("<a href=x/>z", "z"), ("a <b", "a <b"), ("</ b>a", "a"), ("<?x?>a<!doctype html>", "a"),
+])
+def test_tags_that_never_end_take_linear_time(page, text):
+    start = time.process_time()
+    got = render(page)
+    assert time.process_time() - start < 5
+    assert text is None or got == text
+
+
+def test_spans_to_their_limits():
+    rows = "<tr><td rowspan=3000>a<td>0" + "".join(f"<tr><td>{i}" for i in range(1, 2500))
+    lines = render(f"<table>{rows}</table>").split("\n")
+    assert lines[0] == "a  0" and lines[2499] == "   2499"
+    assert render("<table><tr><td rowspan=65535 colspan=99999>a<tr><td>b</table>").split() == ["a", "b"]
+    many = "".join("<tr>" + "<td rowspan=60000 colspan=1000>x" * 3 for _ in range(300))
+    start = time.process_time()
+    assert render(f"<table>{many}</table>").split() == ["x"] * 900
+    assert time.process_time() - start < 20
