@@ -93,10 +93,10 @@ def bit_map(tokens: np.ndarray) -> bytes:
 def may_link(a: bytes, n: int, b: bytes, m: int, percent: int) -> bool:
     """False only if the bit maps prove that the sets of ``n`` and ``m`` tokens overlap too little: a bit that only one
     has is a token that the other lacks."""
-    x, y = (np.unpackbits(np.frombuffer(v, np.uint8)) for v in (a, b))
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     size = min(len(x), len(y))
-    x, y = x.reshape(-1, size).any(axis=0), y.reshape(-1, size).any(axis=0)
-    most = min(n - int((x & ~y).sum()), m - int((y & ~x).sum()))
+    x, y = np.bitwise_or.reduce(x.reshape(-1, size)), np.bitwise_or.reduce(y.reshape(-1, size))
+    most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(~x & y).sum()))
     return 100 * most >= percent * (n + m - most)
 
 
@@ -360,7 +360,8 @@ def probe_pairs(known: DataFrame, turn: int) -> DataFrame:
 
 
 def cross_pairs(known: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of nodes in one posting list but in different components so far, unless their bit maps rule a link out."""
+    """All pairs of nodes in one posting list but in different components so far, unless their bit maps rule a link out: first
+    the folded maps, for all members of a block at once, then the whole ones of the pairs that are left."""
     mixed = known.groupBy("list").agg(F.count(F.lit(1)).alias("m")).select("list", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     at = F.pmod(F.xxhash64("node"), "blocks").cast("int")
     dealt = known.join(mixed, "list").join(nodes.select("node", "n", "bits"), ["node", "n"])
@@ -371,7 +372,8 @@ def cross_pairs(known: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
         mine, node, n, comp = (table.column(c).to_numpy() for c in ("mine", "node", "n", "component"))
-        size, own, half = (np.stack(x) for x in zip(*map(coarse_maps, table.column("bits").to_pylist()), strict=True))
+        bits = table.column("bits").to_pylist()
+        size, own, half = (np.stack(x) for x in zip(*map(coarse_maps, bits), strict=True))
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         a, b = [], []
         for x in left:
@@ -384,6 +386,7 @@ def cross_pairs(known: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             only_y = np.bitwise_count(~x_map & y_map).sum(axis=1) // (COARSE // common)
             most = np.minimum(n[x] - only_x.astype(np.int64), n[y] - only_y.astype(np.int64))
             y = y[100 * most >= percent * (n[x] + n[y] - most)]
+            y = y[np.array([may_link(bits[x], n[x], bits[v], n[v], percent) for v in y], bool)]      # long sets: the whole maps
             a.append(np.minimum(node[x], node[y]))
             b.append(np.maximum(node[x], node[y]))
         return pa.table({"a": np.concatenate([*a, np.empty(0, np.int64)]), "b": np.concatenate([*b, np.empty(0, np.int64)])})
