@@ -385,8 +385,9 @@ def cross_pairs(known: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             only_x = np.bitwise_count(x_map & ~y_map).sum(axis=1) // (COARSE // common)
             only_y = np.bitwise_count(~x_map & y_map).sum(axis=1) // (COARSE // common)
             most = np.minimum(n[x] - only_x.astype(np.int64), n[y] - only_y.astype(np.int64))
-            y = y[100 * most >= percent * (n[x] + n[y] - most)]
-            y = y[np.array([may_link(bits[x], n[x], bits[v], n[v], percent) for v in y], bool)]      # long sets: the whole maps
+            keep = 100 * most >= percent * (n[x] + n[y] - most)
+            y, folded = y[keep], common[keep] == COARSE
+            y = y[np.array([not f or may_link(bits[x], n[x], bits[v], n[v], percent) for v, f in zip(y, folded, strict=True)], bool)]
             a.append(np.minimum(node[x], node[y]))
             b.append(np.maximum(node[x], node[y]))
         return pa.table({"a": np.concatenate([*a, np.empty(0, np.int64)]), "b": np.concatenate([*b, np.empty(0, np.int64)])})
