@@ -4,6 +4,12 @@ Each task has an in-process DuckDB with the merge table. The distinct words of i
 ``(word, position, token)``; a recursive query joins neighbouring tokens with the merge table and contracts each word's
 leftmost pair of the smallest rank, until no pair of the word is in the table. An ordered aggregation then lists the
 ids and puts the bytes together again. Texts are read off the words, so their decoding is that of all their ids.
+
+A word of any length is contracted in overlapping windows (a short one is a single window), so the work grows with its
+length and not with its square. Tokens are a word's encoding if and only if each two neighbours are the encoding of
+their own bytes: no pair across their border was ever the next to contract, whatever lies around them. So the tokens of
+one window up to a token that the next window has at the same place, and that window's tokens from there on, are the
+encoding of both. If two windows of a word have no token in common, its windows are made twice as long.
 """
 from __future__ import annotations
 
@@ -11,6 +17,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +27,8 @@ from pyspark.sql import DataFrame
 from .hashing import slices, text_bytes
 
 KNOWN = 350_000      # encoded words that a task remembers before it starts afresh
-LONG = 200           # bytes from which equal pairs of a word are contracted together
-CHUNK = 20_000       # words encoded by one query
+STEP = 96            # a word is contracted in windows of one and a half steps, one step apart
+CHUNK = 200_000      # bytes of windows contracted by one query
 TOGETHER = 2_000_000  # bytes of text whose new words are encoded together
 STEPS = 48           # contractions in one recursive query; unfinished words go on in the next
 
@@ -32,14 +39,39 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge_table(ranks: dict[bytes, int]) -> np.ndarray:
-    """Rows ``(left id, right id, merged id, whether all equal pairs of a word may be contracted at once)``.
-
-    A pair merges when its bytes together are a token; the rank is that token's. Contracting equal pairs together is
-    the same as one by one if no pair with the merged token ranks below it."""
+    """Rows ``(left id, right id, merged id)``: a pair merges when its bytes together are a token; the rank is that token's."""
     rows = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-    table = np.array(rows, np.int32).reshape(-1, 3)
-    below = np.concatenate([table[table[:, 2] < table[:, 0]][:, 0], table[table[:, 2] < table[:, 1]][:, 1]])
-    return np.column_stack([table, ~np.isin(table[:, 2], below)]).astype(np.int32)
+    return np.array(rows, np.int32).reshape(-1, 3)
+
+
+def windows(size: int, step: int) -> list[tuple[int, int]]:
+    """Where the windows of a word of ``size`` bytes start and end; neighbours share half a step."""
+    return [(a, min(a + step + step // 2, size)) for a in range(0, max(size - step // 2, 1), step)]
+
+
+def joined(parts: list[tuple[int, list[tuple[str, str]]]]) -> list[tuple[str, str]] | None:
+    """Tokens of a word from its windows' starts and tokens; ``None`` if two windows have no token in common."""
+    _, out = parts[0]
+    ends = _ends(0, out)
+    for start, tokens in parts[1:]:
+        more = _ends(start, tokens)
+        here = dict(zip(more, range(len(more)), strict=True))
+        at = len(out) - 1
+        while at >= 0 and ends[at] > start:       # a token of both starts and ends at the same bytes
+            j = here.get(ends[at])
+            if j is not None and out[at] == tokens[j]:
+                break
+            at -= 1
+        else:
+            return None
+        del out[at + 1:], ends[at + 1:]
+        out += tokens[j + 1:]
+        ends += more[j + 1:]
+    return out
+
+
+def _ends(start: int, tokens: list[tuple[str, str]]) -> list[int]:
+    return list(accumulate((len(x) // 2 for _, x in tokens), initial=start))[1:]
 
 
 # One step for words still open: neighbouring tokens meet the merge table, each word's leftmost pair of the smallest rank
@@ -66,26 +98,6 @@ WITH RECURSIVE t(step, w, p, id, done) AS (
 )
 SELECT w, p, id, done FROM t WHERE done OR step = {steps}
 """
-# The same for long words, where equal pairs that no other pair can come between are contracted in one step; in runs
-# such as 'aaaa' every second pair counts.
-_TOGETHER = """
-WITH RECURSIVE t(step, w, p, id, done) AS (
-  SELECT 0, w, p, id, false FROM _start
-  UNION ALL
-  SELECT step + 1, w, p, CASE WHEN taken THEN (best >> 32)::INT ELSE id END, best IS NULL
-  FROM (
-    SELECT *, coalesce(lag(taken) OVER (PARTITION BY w ORDER BY p), false) AS gone
-    FROM (SELECT *, coalesce(k = best OR together = 1 AND same
-                             AND row_number() OVER (PARTITION BY w, same, place - nth ORDER BY p) % 2 = 1, false) AS taken
-          FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY p) AS place, row_number() OVER (PARTITION BY w, same ORDER BY p) AS nth
-                FROM (SELECT *, coalesce(k >> 32 = best >> 32, false) AS same
-                      FROM (SELECT n.*, (m.merged::BIGINT << 32) + n.p AS k, min((m.merged::BIGINT << 32) + n.p) OVER (PARTITION BY w) AS best, m.together
-                            FROM (SELECT step, w, p, id, lead(id) OVER (PARTITION BY w ORDER BY p) AS nid FROM t WHERE NOT done AND step < {steps}) n
-                            LEFT JOIN merges m ON m.a = n.id AND m.b = n.nid))))
-  ) WHERE NOT gone
-)
-SELECT w, p, id, done FROM t WHERE done OR step = {steps}
-"""
 # ids and bytes of every word, in order: 'id:hex id:hex'
 _READ = "SELECT w, string_agg(code, ' ' ORDER BY p) AS codes FROM _done JOIN vocabulary USING (id) GROUP BY w"
 
@@ -97,9 +109,9 @@ class Encoder:
         import duckdb
         self.out_of_order = duckdb.InvalidInputException
         tokens, merges = vocabulary
-        merges = np.frombuffer(zlib.decompress(merges), np.int32).reshape(-1, 4)
+        merges = np.frombuffer(zlib.decompress(merges), np.int32).reshape(-1, 3)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        self.db.register("_m", pa.table({c: merges[:, i] for i, c in enumerate(("a", "b", "merged", "together"))}))
+        self.db.register("_m", pa.table({c: merges[:, i] for i, c in enumerate(("a", "b", "merged"))}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM _m")
         self.db.register("_v", pa.table({"id": pa.array(range(len(tokens)), pa.int32()), "code": [f"{i}:{t.hex()}" for i, t in enumerate(tokens)]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM _v")
@@ -112,15 +124,28 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Encode words and remember the ids and the decoded bytes of each."""
-        short, long = [], []
-        for w in words:
-            (long if len(w) > LONG else short).append(w)
-        for group, query in ((short, _LEFTMOST), (long, _TOGETHER)):
-            for a in range(0, len(group), CHUNK):
-                self._encode(group[a:a + CHUNK], query)
-
-    def _encode(self, words: list[str], query: str) -> None:
-        raw = [w.encode() for w in words]
+        step, open_ = STEP, {w: w.encode() for w in words}
+        while open_:
+            cut = [windows(len(raw), step) for raw in open_.values()]
+            tokens = self._encode([raw[a:b] for raw, c in zip(open_.values(), cut, strict=True) for a, b in c])
+            again = {}
+            for (w, raw), c in zip(open_.items(), cut, strict=True):
+                found = next(tokens) if len(c) == 1 else joined([(a, next(tokens)) for a, _ in c])
+                if found is None:
+                    again[w] = raw
+                else:
+                    self.ids[w] = " ".join([x[0] for x in found])
+                    self.plain[w] = bytes.fromhex("".join([x[1] for x in found]))
+            step, open_ = 2 * step, again
+
+    def _encode(self, raw: list[bytes], query: str = _LEFTMOST) -> Iterator[list[tuple[str, str]]]:
+        """Id and bytes of the tokens of each byte string, in order."""
+        ends = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        for a, b in slices(ends, CHUNK):
+            for codes in self._contracted(raw[a:b], query):
+                yield [tuple(c.split(":")) for c in codes.split(" ")]
+
+    def _contracted(self, raw: list[bytes], query: str) -> list[str]:
         sizes = np.array([len(r) for r in raw])
         ends = np.cumsum(sizes)
         start = pa.table({"w": np.repeat(np.arange(len(raw), dtype=np.int32), sizes),
@@ -138,10 +163,10 @@ class Encoder:
             start = got.filter(pa.compute.invert(done)).select(["w", "p", "id"])
         self.db.register("_done", pa.concat_tables(finished))
         rows = self.db.sql(_READ).to_arrow_table()
-        for w, codes in zip(rows.column("w").to_pylist(), rows.column("codes").to_pylist(), strict=True):
-            pairs = [c.partition(":") for c in codes.split(" ")]
-            self.ids[words[w]] = " ".join([x[0] for x in pairs])
-            self.plain[words[w]] = bytes.fromhex("".join([x[2] for x in pairs]))
+        codes = [""] * len(raw)
+        for w, line in zip(rows.column("w").to_pylist(), rows.column("codes").to_pylist(), strict=True):
+            codes[w] = line
+        return codes
 
     def texts(self, texts: list[str], find) -> Iterator[tuple[int, str, str]]:
         """For each text the number of ids and the digests of the ids and of the decoded bytes."""
