@@ -49,7 +49,7 @@ def windows(size: int, step: int) -> list[tuple[int, int]]:
     return [(a, min(a + step + step // 2, size)) for a in range(0, max(size - step // 2, 1), step)]
 
 
-def joined(parts: list[tuple[int, list[tuple[str, str]]]]) -> list[tuple[str, str]] | None:
+def joined(parts: list[tuple[int, list[tuple[str, str, str]]]]) -> list[tuple[str, str, str]] | None:
     """Tokens of a word from its windows' starts and tokens; ``None`` if two windows have no token in common."""
     _, out = parts[0]
     ends = _ends(0, out)
@@ -70,8 +70,13 @@ def joined(parts: list[tuple[int, list[tuple[str, str]]]]) -> list[tuple[str, st
     return out
 
 
-def _ends(start: int, tokens: list[tuple[str, str]]) -> list[int]:
-    return list(accumulate((len(x) // 2 for _, x in tokens), initial=start))[1:]
+def _tokens(line: str) -> list[tuple[str, str, str]]:
+    """Id, colon and bytes of each token in a line of ``_READ``."""
+    return [c.partition(":") for c in line.split(" ")]
+
+
+def _ends(start: int, tokens: list[tuple[str, str, str]]) -> list[int]:
+    return list(accumulate((len(x[2]) // 2 for x in tokens), initial=start))[1:]
 
 
 # One step for words still open: neighbouring tokens meet the merge table, each word's leftmost pair of the smallest rank
@@ -98,7 +103,7 @@ WITH RECURSIVE t(step, w, p, id, done) AS (
 )
 SELECT w, p, id, done FROM t WHERE done OR step = {steps}
 """
-# ids and bytes of every word, in order: 'id:hex id:hex'
+# ids and bytes of every window, in order: 'id:hex id:hex'
 _READ = "SELECT w, string_agg(code, ' ' ORDER BY p) AS codes FROM _done JOIN vocabulary USING (id) GROUP BY w"
 
 
@@ -124,26 +129,30 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Encode words and remember the ids and the decoded bytes of each."""
-        step, open_ = STEP, {w: w.encode() for w in words}
+        step, open_ = STEP, [(w, w.encode()) for w in words]
         while open_:
-            cut = [windows(len(raw), step) for raw in open_.values()]
-            tokens = self._encode([raw[a:b] for raw, c in zip(open_.values(), cut, strict=True) for a, b in c])
-            again = {}
-            for (w, raw), c in zip(open_.items(), cut, strict=True):
-                found = next(tokens) if len(c) == 1 else joined([(a, next(tokens)) for a, _ in c])
-                if found is None:
-                    again[w] = raw
+            cut = [windows(len(raw), step) if len(raw) > step else None for _, raw in open_]
+            pieces = []
+            for (_, raw), c in zip(open_, cut, strict=True):
+                if c is None:
+                    pieces.append(raw)
                 else:
-                    self.ids[w] = " ".join([x[0] for x in found])
-                    self.plain[w] = bytes.fromhex("".join([x[1] for x in found]))
+                    pieces += [raw[a:b] for a, b in c]
+            read, again = self._encode(pieces), []
+            for (w, raw), c in zip(open_, cut, strict=True):
+                found = _tokens(next(read)) if c is None else joined([(a, _tokens(next(read))) for a, _ in c])
+                if found is None:
+                    again.append((w, raw))
+                    continue
+                self.ids[w] = " ".join([x[0] for x in found])
+                self.plain[w] = bytes.fromhex("".join([x[2] for x in found]))
             step, open_ = 2 * step, again
 
-    def _encode(self, raw: list[bytes], query: str = _LEFTMOST) -> Iterator[list[tuple[str, str]]]:
-        """Id and bytes of the tokens of each byte string, in order."""
+    def _encode(self, raw: list[bytes], query: str = _LEFTMOST) -> Iterator[str]:
+        """The line of ``_READ`` for each byte string."""
         ends = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
         for a, b in slices(ends, CHUNK):
-            for codes in self._contracted(raw[a:b], query):
-                yield [tuple(c.split(":")) for c in codes.split(" ")]
+            yield from self._contracted(raw[a:b], query)
 
     def _contracted(self, raw: list[bytes], query: str) -> list[str]:
         sizes = np.array([len(r) for r in raw])
@@ -163,10 +172,10 @@ class Encoder:
             start = got.filter(pa.compute.invert(done)).select(["w", "p", "id"])
         self.db.register("_done", pa.concat_tables(finished))
         rows = self.db.sql(_READ).to_arrow_table()
-        codes = [""] * len(raw)
-        for w, line in zip(rows.column("w").to_pylist(), rows.column("codes").to_pylist(), strict=True):
-            codes[w] = line
-        return codes
+        out = [""] * len(raw)
+        for w, codes in zip(rows.column("w").to_pylist(), rows.column("codes").to_pylist(), strict=True):
+            out[w] = codes
+        return out
 
     def texts(self, texts: list[str], find) -> Iterator[tuple[int, str, str]]:
         """For each text the number of ids and the digests of the ids and of the decoded bytes."""
